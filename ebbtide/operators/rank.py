@@ -171,7 +171,7 @@ def average_ranks(counts, splits):
     """(feature, value, n) -> adds `below` (rows with smaller values), `total` and
     `average_rank`. Ranks are running sums inside ranges of values, shifted by the sizes of
     the ranges before; rows are already counted per value, so no range holds a hot value twice.
-    """
+    Further columns of the input are kept."""
     ranged = counts.withColumn("bucket", _bucket(F.col("feature"), F.col("value"), splits))
     inside = (Window.partitionBy("feature", "bucket").orderBy("value")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -186,7 +186,7 @@ def average_ranks(counts, splits):
             .join(F.broadcast(shift), ["feature", "bucket"])
             .withColumn("below", F.col("shift") + F.col("upto") - F.col("n"))
             .withColumn("average_rank", F.col("below") + (F.col("n") + 1) / 2)
-            .select("feature", "value", "n", "below", "total", "average_rank"))
+            .drop("bucket", "upto", "shift"))
 
 
 def attach_percentiles(rows, ranks):

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["quality_queries", "risk_queries", "stat_queries"]
+MODULES = ["quality_queries", "risk_queries", "stat_queries", "store_queries", "ml_queries"]
 
 
 def load():
