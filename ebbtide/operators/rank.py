@@ -17,6 +17,7 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4_096
 ACCURACY = 10_000
 HEAVY_SHARE = 1_000
+SMALL_BRACKET = 64
 AGGREGATES_PER_JOB = 90
 
 
@@ -98,12 +99,12 @@ def order_statistics(df, ranks, counts, distinct_limit=DISTINCT_LIMIT, accuracy=
             below, n = got[f"b{i}"], got[f"n{i}"]
             if not below < k <= below + n:
                 low, high, below, n = open_[(c, k)]
-                accuracy *= 2
+                accuracy *= 2  # the sketch missed; ask for a finer one
             elif low == high:
                 found[c][k] = low
                 del open_[(c, k)]
                 continue
-            elif got[f"d{i}"] <= distinct_limit:
+            elif got[f"d{i}"] <= max(distinct_limit, SMALL_BRACKET):
                 ready[(c, k)] = (low, high, below)
                 del open_[(c, k)]
                 continue
