@@ -41,7 +41,7 @@ def batch(spark, rows):
 @pytest.fixture
 def customers(spark, request):
     name = "t_" + request.node.name.replace("[", "_").replace("]", "").replace("-", "_")
-    return store.CustomerTable(spark, name, buckets=2).create()
+    return store.CustomerTable(spark, name).create()
 
 
 def test_upsert_rules(spark, customers):
