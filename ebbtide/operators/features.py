@@ -115,8 +115,7 @@ def _hash_cuts(df, key, shares, seed, y):
     names = {g: f"h{i}" for i, g in enumerate(groups)}
     h = df.select(*[F.when(cond, row_hash(key, seed)).alias(names[g]) for g, cond in groups.items()])
     ranks = {g: [round(s * n[g]) for s in shares] for g in groups}
-    found = order_statistics(h, {names[g]: {k for k in ks if 0 < k <= n[g]} for g, ks in ranks.items()},
-                             {names[g]: n[g] for g in groups})
+    found = order_statistics(h, {names[g]: {k for k in ks if 0 < k <= n[g]} for g, ks in ranks.items()})
     return {g: [found[names[g]].get(k) for k in ks] for g, ks in ranks.items()}
 
 

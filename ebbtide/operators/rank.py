@@ -1,8 +1,9 @@
-"""Exact order statistics and ranks that never sort a whole column in one task.
+"""Exact order statistics and ranks that never bring a whole column into one task.
 
-Few distinct values: Spark's exact `percentile`, whose state is one entry per distinct value,
-checked beforehand. Many: a sketch narrows the wanted rank to a bracket, exact counts confirm
-it, and the scan repeats inside the bracket until few distinct values are left.
+A wanted rank is searched by counting: values are counted in up to 4,096 ranges between the
+smallest and the largest, the range that holds the rank is the next search interval, and the
+scan repeats inside it until few rows are left. The counts combine map-side, so every pass
+shuffles only a few thousand numbers whatever the size of the table.
 """
 
 import math
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import col
 
-DISTINCT_LIMIT = 100_000
+ROW_LIMIT = 10_000
+BINS = 4_096
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4_096
-ACCURACY = 10_000
+SPLIT_VALUES = 100_000
 HEAVY_SHARE = 1_000
-SMALL_BRACKET = 64
 AGGREGATES_PER_JOB = 90
 
 
@@ -34,103 +35,102 @@ def agg_values(df, exprs):
     return out
 
 
-def sizes(df, columns):
-    """{column: (non-null count, approximate distinct count)} in one pass."""
+def extents(df, columns):
+    """{column: (non-null count, smallest, largest)} in one pass."""
     got = agg_values(df, {f"{kind}{i}": f(col(c)) for i, c in enumerate(columns)
-                          for kind, f in (("n", F.count), ("d", F.approx_count_distinct))})
-    return {c: (got[f"n{i}"], got[f"d{i}"]) for i, c in enumerate(columns)}
+                          for kind, f in (("n", F.count), ("a", F.min), ("z", F.max))})
+    return {c: (got[f"n{i}"], got[f"a{i}"], got[f"z{i}"]) for i, c in enumerate(columns)}
 
 
-def exact_quantiles(df, columns, probs, distinct_limit=DISTINCT_LIMIT):
+def exact_quantiles(df, columns, probs, row_limit=ROW_LIMIT):
     """{column: [value per prob]} by linear interpolation; None where a column is empty."""
     columns = list(columns)
     if not columns:
         return {}
-    size = sizes(df, columns)
-    few = [c for c in columns if size[c][1] <= distinct_limit]
-    out = {c: [None] * len(probs) for c in columns}
-    if few:
-        got = agg_values(df, {f"q{i}": F.percentile(col(c), list(map(float, probs)))
-                              for i, c in enumerate(few)})
-        out.update({c: got[f"q{i}"] for i, c in enumerate(few) if got[f"q{i}"] is not None})
-    many = {c: [q * (size[c][0] - 1) for q in probs] for c in columns if c not in few}
+    rows = df.select(*[col(c).cast("double").alias(c) for c in columns])
+    extent = extents(rows, columns)
+    places = {c: [q * (extent[c][0] - 1) for q in probs] for c in columns if extent[c][0]}
     ranks = {c: {math.floor(h) + 1 for h in hs} | {math.ceil(h) + 1 for h in hs}
-             for c, hs in many.items()}
-    found = order_statistics(df, ranks, {c: size[c][0] for c in many}, distinct_limit)
-    for c, hs in many.items():
-        out[c] = []
-        for h in hs:
-            low, high = found[c][math.floor(h) + 1], found[c][math.ceil(h) + 1]
-            out[c].append(float(low) + (float(high) - float(low)) * (h - math.floor(h)))
+             for c, hs in places.items()}
+    found = order_statistics(rows, ranks, extent, row_limit)
+    out = {c: [None] * len(probs) for c in columns}
+    for c, hs in places.items():
+        pairs = [(found[c][math.floor(h) + 1], found[c][math.ceil(h) + 1], h - math.floor(h)) for h in hs]
+        out[c] = [low + (high - low) * part for low, high, part in pairs]
     return out
 
 
-def order_statistics(df, ranks, counts, distinct_limit=DISTINCT_LIMIT, accuracy=ACCURACY):
-    """{column: {k: k-th smallest value}} for 1-based ranks k."""
+def _inside(c, low, high):
+    return (col(c) >= F.lit(low)) & (col(c) <= F.lit(high))
+
+
+def _hits(df, searches, *extra):
+    """One row (s, x, ...) per search interval that a row's value lies in."""
+    cells = [F.when(_inside(c, low, high), F.struct(
+        F.lit(i).alias("s"), col(c).alias("x"), *[e(c, low, high) for e in extra]))
+        for i, (c, low, high) in enumerate(searches)]
+    return df.select(F.inline(F.array_compact(F.array(*cells))))
+
+
+def _bin(c, low, high):
+    """Range number; it never falls as the value grows, which is all the search needs."""
+    share = (col(c).cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low))
+    return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+
+
+def order_statistics(df, ranks, extent=None, row_limit=ROW_LIMIT):
+    """{column: {k: k-th smallest value}} for 1-based ranks k of columns of one numeric type."""
+    extent = extent or extents(df, list(ranks))
     found = {c: {} for c in ranks}
-    # A bracket is (lowest, highest, rows below it, rows inside it); None is an open end.
-    open_ = {(c, k): (None, None, 0, counts[c]) for c, ks in ranks.items() for k in ks}
-
-    def inside(c, low, high):
-        hit = col(c).isNotNull()
-        hit = hit if low is None else hit & (col(c) >= F.lit(low))
-        return hit if high is None else hit & (col(c) <= F.lit(high))
-
-    while open_:
-        keys = list(open_)
-        sketches = {}
-        for i, (c, k) in enumerate(keys):
-            low, high, below, n = open_[(c, k)]
-            margin = 2 / accuracy + 2 / n
-            at = [min(max((k - below) / n + d, 0.0), 1.0) for d in (-margin, margin)]
-            sketches[f"s{i}"] = F.percentile_approx(
-                F.when(inside(c, low, high), col(c)), [float(a) for a in at], accuracy)
-        edges = agg_values(df, sketches)
-        checks = {}
-        for i, (c, k) in enumerate(keys):
-            low, high = edges[f"s{i}"]
-            checks[f"b{i}"] = F.count_if(col(c) < F.lit(low))
-            checks[f"n{i}"] = F.count_if(inside(c, low, high))
-            checks[f"d{i}"] = F.approx_count_distinct(F.when(inside(c, low, high), col(c)))
-        got = agg_values(df, checks)
-        ready = {}
-        for i, (c, k) in enumerate(keys):
-            low, high = edges[f"s{i}"]
-            below, n = got[f"b{i}"], got[f"n{i}"]
-            if not below < k <= below + n:
-                low, high, below, n = open_[(c, k)]
-                accuracy *= 2  # the sketch missed; ask for a finer one
-            elif low == high:
-                found[c][k] = low
-                del open_[(c, k)]
-                continue
-            elif got[f"d{i}"] <= max(distinct_limit, SMALL_BRACKET):
-                ready[(c, k)] = (low, high, below)
-                del open_[(c, k)]
-                continue
-            open_[(c, k)] = (low, high, below, n)
-        for (c, k), (low, high, below) in ready.items():
-            rows = (df.where(inside(c, low, high)).groupBy(col(c).alias("v")).count()
-                    .orderBy("v").collect())  # at most distinct_limit values, checked above
-            for v, n in rows:
-                below += n
-                if below >= k:
-                    found[c][k] = v
-                    break
+    # (column, smallest, largest value of the interval): [rows below it, rows inside, ranks]
+    wide, narrow = {}, {}
+
+    def place(c, low, high, below, n, ks):
+        if low == high:
+            found[c].update(dict.fromkeys(ks, low))
+        else:
+            few = n <= row_limit or float(low) == float(high)  # then at most 2,048 integers differ
+            (narrow if few else wide)[(c, low, high)] = (below, n, ks)
+
+    for c, ks in ranks.items():
+        if ks:
+            n, low, high = extent[c]
+            place(c, low, high, 0, n, sorted(ks))
+    while wide:
+        now, wide = wide, {}
+        for part in _chunks(now):
+            rows = (_hits(df, part, _bin).groupBy("s", "bin")
+                    .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+                    .orderBy("s", "bin").collect())  # at most BINS rows per interval
+            for i, key in enumerate(part):
+                below, _, ks = now[key]
+                for r in (r for r in rows if r["s"] == i):
+                    mine = [k for k in ks if below < k <= below + r["n"]]
+                    if mine:
+                        place(key[0], r["low"], r["high"], below, r["n"], mine)
+                    below += r["n"]
+    for part in _chunks(narrow):
+        rows = _hits(df, part).groupBy("s", "x").count().orderBy("s", "x").collect()  # few, see place()
+        for i, key in enumerate(part):
+            below, _, ks = narrow[key]
+            for r in (r for r in rows if r["s"] == i):
+                found[key[0]].update({k: r["x"] for k in ks if below < k <= below + r["count"]})
+                below += r["count"]
     return found
 
 
-def percentile_cutoffs(df, column, percents, distinct_limit=DISTINCT_LIMIT):
+def percentile_cutoffs(df, column, percents, row_limit=ROW_LIMIT):
     """{percent: smallest value whose average-rank percentile reaches it}, None if none does.
 
     The percentile grows with the value, so "percentile >= p" is "value >= cut-off": the rank
     of every row need not be known. Only the value at rank ceil(p*n) or the next one can be it.
     """
-    n = df.agg(F.count(col(column))).first()[0]
+    extent = extents(df, [column])
+    n = extent[column][0]
     if not n:
         return dict.fromkeys(percents)
     ks = {p: max(1, math.ceil(p / 100 * n - 1e-9)) for p in percents}
-    at = order_statistics(df, {column: set(ks.values())}, {column: n}, distinct_limit)[column]
+    at = order_statistics(df, {column: set(ks.values())}, extent, row_limit)[column]
     exprs = {}
     for i, p in enumerate(percents):
         x = F.lit(at[ks[p]])
@@ -146,13 +146,18 @@ def percentile_cutoffs(df, column, percents, distinct_limit=DISTINCT_LIMIT):
 
 
 def range_splits(df, columns, rows_per_bucket=ROWS_PER_BUCKET):
-    """{column: ascending split values} cutting each column into ranges of like size; empty
-    for columns with few distinct values. The number of splits is bounded by MAX_BUCKETS."""
-    size = sizes(df, columns)
-    want = {c: min(MAX_BUCKETS, -(-size[c][1] // rows_per_bucket)) for c in columns}
-    exprs = {f"s{i}": F.percentile_approx(
-                col(c), [j / want[c] for j in range(1, want[c])], 2 * MAX_BUCKETS)
-             for i, c in enumerate(columns) if want[c] > 1}
+    """{column: ascending split values} cutting each column into ranges of like size; empty for
+    columns with few distinct values. Splits only balance the work, so, as in Spark's own range
+    partitioning, a share of the distinct values (chosen by hash) is enough to place them."""
+    got = agg_values(df, {f"d{i}": F.approx_count_distinct(col(c)) for i, c in enumerate(columns)})
+    distinct = {c: got[f"d{i}"] for i, c in enumerate(columns)}
+    want = {c: min(MAX_BUCKETS, -(-distinct[c] // rows_per_bucket)) for c in columns}
+    exprs = {}
+    for i, c in enumerate(columns):
+        if want[c] > 1:
+            keep = F.pmod(F.xxhash64(col(c)), F.lit(max(1, distinct[c] // SPLIT_VALUES))) == 0
+            exprs[f"s{i}"] = F.percentile_approx(
+                F.when(keep, col(c)), [j / want[c] for j in range(1, want[c])], 2 * MAX_BUCKETS)
     got = agg_values(df, exprs) if exprs else {}
     return {c: sorted(set(got.get(f"s{i}") or [])) for i, c in enumerate(columns)}
 

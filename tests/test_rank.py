@@ -38,7 +38,7 @@ def linear(xs, q):
 def test_quantiles_at_any_limit(request, data, limit):
     df = request.getfixturevalue(data)
     xs, probs = values(df), [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = rank.exact_quantiles(df, ["x"], probs, distinct_limit=limit)["x"]
+    got = rank.exact_quantiles(df, ["x"], probs, row_limit=limit)["x"]
     assert got == pytest.approx([linear(xs, q) for q in probs], rel=1e-12)
 
 
@@ -46,10 +46,19 @@ def test_order_statistics_of_long_hashes(spark, sf):
     df = table(spark, sf, "orders").select(F.xxhash64("o_orderkey").alias("x"))
     xs = values(df)
     ks = {1, 2, 77, len(xs) // 2, len(xs)}
-    got = rank.order_statistics(df, {"x": ks}, {"x": len(xs)}, distinct_limit=5, accuracy=50)["x"]
+    got = rank.order_statistics(df, {"x": ks}, row_limit=5)["x"]
     assert got == {k: xs[k - 1] for k in ks}
 
 
+def test_values_far_apart(spark):
+    """Most values share one range of the first passes; neighbouring integers are told apart."""
+    big = 2 ** 62
+    xs = sorted([-big, big] + [5 + i for i in range(300)] + [big - i for i in range(1, 200)])
+    df = spark.createDataFrame([(x,) for x in xs], "x long")
+    ks = {1, 2, 150, 301, 302, 400, len(xs)}
+    assert rank.order_statistics(df, {"x": ks}, row_limit=4)["x"] == {k: xs[k - 1] for k in ks}
+
+
 def test_quantiles_of_empty_column(spark):
     df = spark.range(5).select(F.lit(None).cast("double").alias("x"))
     assert rank.exact_quantiles(df, ["x"], [0.5])["x"] == [None]
@@ -68,7 +77,7 @@ def test_percentile_cutoffs(request, data):
     df = request.getfixturevalue(data)
     pct = average_rank_percentiles(values(df))
     for limit in (3, 100_000):
-        got = rank.percentile_cutoffs(df, "x", [10, 70, 75, 100], distinct_limit=limit)
+        got = rank.percentile_cutoffs(df, "x", [10, 70, 75, 100], row_limit=limit)
         for p, cut in got.items():
             reach = [x for x, share in pct.items() if share * 100 >= p]
             assert cut == (min(reach) if reach else None)
