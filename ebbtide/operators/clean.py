@@ -125,14 +125,17 @@ def column_modes(df, columns):
     return {r["feature"]: r["best"]["value"] for r in best.collect()}  # one row per column
 
 
-def fill_values(df):
-    """(medians, modes): the fill for numeric columns and for all others."""
+def fill_values(df, only_gaps=False):
+    """(medians, modes): the fill for numeric columns and for all others. `only_gaps` spares the
+    modes of columns without a gap, above all the counting of every customer id."""
     numbers = numeric_columns(df)
     clean = df.select(*[value(df, c).cast("double").alias(c) for c in numbers]) if numbers else df
     medians = {c: q[0] for c, q in exact_quantiles(clean, numbers, [0.5]).items() if q[0] is not None}
     others = [c for c in df.columns if c not in numbers]
-    modes = {**dict.fromkeys(others, "Unknown"), **column_modes(df, others)}
-    return medians, modes
+    if only_gaps and others:
+        got = agg_values(df, {"n": F.count(F.lit(1)), **{f"c{i}": F.count(col(c)) for i, c in enumerate(others)}})
+        others = [c for i, c in enumerate(others) if got[f"c{i}"] < got["n"]]
+    return medians, {**dict.fromkeys(others, "Unknown"), **column_modes(df, others)}
 
 
 def fill_missing(df, medians, modes):
@@ -146,7 +149,7 @@ def fill_missing(df, medians, modes):
 
 
 def handle_missing_values(df):
-    return fill_missing(df, *fill_values(df))
+    return fill_missing(df, *fill_values(df, only_gaps=True))
 
 
 def recognized_share(df, name):
@@ -245,7 +248,7 @@ def fit_cleaning(rows):
     if churn and recognized_share(typed, churn) >= (1.0 if is_number(typed, churn) else LABEL_RATIO):
         profile.churn = churn
         typed = _typed(kept, profile)
-    profile.medians, profile.modes = fill_values(typed)
+    profile.medians, profile.modes = fill_values(typed, only_gaps=True)
     if churn and profile.medians.get(churn) not in (None, 0.0, 1.0):
         del profile.medians[churn]  # a label is never filled with a half
     return profile

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import col
+from ebbtide.session import materialize
 
 ROW_LIMIT = 10_000
 BINS = 4_096
@@ -216,8 +217,9 @@ def percentile_ranks(df, columns, key, rows_per_bucket=ROWS_PER_BUCKET):
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"),
                                (col(c).cast("double") + F.lit(0.0)).alias("value")) for c in columns])
     rows = df.select(col(key), F.inline(pairs)).where(F.col("value").isNotNull())
-    counts = rows.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    return attach_percentiles(rows, average_ranks(counts, splits))
+    # Both tables hold one row per distinct value and are read several times: write them once.
+    counts = materialize(rows.groupBy("feature", "value").agg(F.count("*").alias("n")), "counts")
+    return attach_percentiles(rows, materialize(average_ranks(counts, splits), "ranks"))
 
 
 def dense_rank_of_scores(df, score, out):
@@ -229,16 +231,17 @@ def dense_rank_of_scores(df, score, out):
 
 
 def positions(df, column, rows_per_bucket=ROWS_PER_BUCKET, out="position"):
-    """Dense row numbers 1..n over a unique, non-null numeric order column."""
+    """Dense row numbers 1..n over a unique, non-null numeric order column, counted inside
+    ranges of the column and shifted by the sizes of the ranges before."""
     splits = range_splits(df, [column], rows_per_bucket)
-    counts = df.select(F.lit(column).alias("feature"), col(column).cast("double").alias("value"),
-                       F.lit(1).alias("n"), *[col(c) for c in df.columns])
-    ranged = counts.withColumn("bucket", _bucket(F.col("feature"), F.col("value"), splits))
-    before = Window.partitionBy("feature").orderBy("bucket")
-    shift = (ranged.groupBy("feature", "bucket").agg(F.sum("n").alias("m"))
-             .select("bucket", (F.sum("m").over(before) - F.col("m")).alias("shift")))
-    inside = Window.partitionBy("bucket").orderBy(col(column))
-    return (ranged.withColumn("upto", F.row_number().over(inside))
-            .join(F.broadcast(shift), "bucket")
+    if not splits[column]:  # one range holds at most rows_per_bucket rows
+        return df.withColumn(out, F.row_number().over(Window.orderBy(col(column))).cast("long"))
+    ranged = df.withColumn("__bucket", _bucket(F.lit(column), col(column).cast("double"), splits))
+    before = Window.orderBy("__bucket")  # over one row per range
+    shift = (ranged.groupBy("__bucket").agg(F.count("*").alias("__m"))
+             .select("__bucket", (F.sum("__m").over(before) - F.col("__m")).alias("__shift")))
+    inside = Window.partitionBy("__bucket").orderBy(col(column))
+    return (ranged.withColumn("__upto", F.row_number().over(inside))
+            .join(F.broadcast(shift), "__bucket")
             .select(*[col(c) for c in df.columns],
-                    (F.col("shift") + F.col("upto")).cast("long").alias(out)))
+                    (F.col("__shift") + F.col("__upto")).cast("long").alias(out)))

@@ -125,6 +125,11 @@ def test_sketched_column_profile_is_close(spark, sf):
         assert abs(r["unique_values"] - exact[r["column_name"]]) <= max(2, 0.15 * exact[r["column_name"]])
 
 
+def test_hashed_rows_give_the_same_facts(spark, sf):
+    d = stored(dirty_customer, spark, sf)
+    assert quality.data_quality(d).first() == quality.data_quality(d, exact=False).first()
+
+
 def test_readiness_warnings(spark):
     df = frame(spark, [(None, None), (None, None), ("x", "y")], "a string, b string")
     row = quality.churn_readiness(df).first()

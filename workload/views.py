@@ -21,8 +21,8 @@ def stored(view, spark, sf):
     return _STORED[key]
 
 
-def _months(late, early):
-    return (F.year(late) - F.year(early)) * 12 + F.month(late) - F.month(early)
+def _month_number(date):
+    return F.year(date) * 12 + F.month(date)
 
 
 def _joined(spark, sf, with_orders=False):
@@ -38,14 +38,14 @@ def _joined(spark, sf, with_orders=False):
     e = table(spark, sf, "events").groupBy("user_id").agg(
         F.count("*").alias("usage_events"),
         F.count_if(F.col("event_type") == "error").alias("support_tickets"))
-    latest = orders.agg(F.max("o_orderdate")).scalar()
+    latest = orders.agg(F.max(_month_number("o_orderdate"))).scalar()
     return (table(spark, sf, "customer")
             .join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
             .join(e, F.col("user_id") == F.col("c_custkey"), "left")
             .join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
             .join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-            .withColumn("tenure", _months(F.col("last_order"), F.col("first_order")))
-            .withColumn("recency_months", _months(latest, F.col("last_order"))))
+            .withColumn("tenure", _month_number("last_order") - _month_number("first_order"))
+            .withColumn("recency_months", latest - _month_number("last_order")))
 
 
 def _picked(key, names):
