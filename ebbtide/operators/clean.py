@@ -215,7 +215,7 @@ def normalize_target(df, name):
 
 def light_clean(df):
     """Names, empty rows and columns, duplicates, null tokens and typing; no filling."""
-    rows = clean_column_names(remove_empty_data(df)).dropDuplicates()
+    rows = materialize(clean_column_names(remove_empty_data(df)).dropDuplicates(), "distinct-rows")
     return convert_numeric_columns(clean_text_columns(rows))
 
 
@@ -223,7 +223,7 @@ def scoring_clean(df, dedupe=False):
     """Cleaning before scoring. Duplicates are kept unless asked for, so that every input row
     gets its score."""
     rows = drop_empty_rows(drop_repeated_columns(df))
-    rows = clean_text_columns(rows.dropDuplicates() if dedupe else rows)
+    rows = clean_text_columns(materialize(rows.dropDuplicates(), "distinct-rows") if dedupe else rows)
     return convert_numeric_columns(rows, SCORING_RATIO, currency=False, of_all_rows=True)
 
 

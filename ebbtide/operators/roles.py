@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ebbtide.functions import fixed
-from ebbtide.functions.columns import category_columns, missing, numeric_columns, value
+from ebbtide.functions.columns import category_columns, col, missing, numeric_columns, value
 from ebbtide.functions.names import find_column, match_column, match_columns, plain
+from ebbtide.session import materialize
 
 
 def detect_columns(columns):
@@ -74,13 +75,15 @@ def profile_dataset(df):
 
 def analyze_dataset(df):
     """One row: shape, target, id, types, missing cells, duplicates and planned scoring mode, as
-    scoring will see the table (null tokens gone, numbers typed, copies of a row once)."""
+    scoring will see the table (null tokens gone, numbers typed, copies of a row once). Rows are
+    grouped once; typing and counting then read the written groups."""
     from ebbtide.operators.clean import scoring_clean
-    cleaned = scoring_clean(df, dedupe=True)
+    whole = df.select(*[value(df, c).alias(c) for c in df.columns])
+    whole = materialize(whole.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__n")), "rows")
+    copies = whole.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long")).scalar()
+    cleaned = scoring_clean(whole.drop("__n"))
     target, numbers = detect_target(cleaned.columns), numeric_columns(cleaned)
     gaps = sum((missing(cleaned, c).cast("long") for c in cleaned.columns), F.lit(0).cast("long"))
-    whole = df.groupBy(*[value(df, c).alias(c) for c in df.columns]).count()
-    copies = whole.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long")).scalar()
     return cleaned.agg(
         F.count("*").alias("rows"), F.lit(len(cleaned.columns)).cast("long").alias("columns"),
         _text_or_null(target).alias("target_column"),

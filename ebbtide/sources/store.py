@@ -90,11 +90,13 @@ def upsert(current, df, order=None):
     latest = rows.groupBy("customer_id").agg(
         F.max_by(F.struct(*COLUMNS), "seq").alias("new"), F.min("seq").alias("first_seq"))
     base = _next_id(current)
-    joined = current.join(latest, "customer_id", "full_outer")
+    # Rows without an id match nothing; joined, they would all meet in one task.
+    anonymous = current.where(F.col("customer_id").isNull())
+    joined = current.where(F.col("customer_id").isNotNull()).join(latest, "customer_id", "full_outer")
     return joined.select(
         F.coalesce(F.col("id"), base + F.col("first_seq") + 1).alias("id"), "customer_id",
         *[F.when(F.col("new").isNotNull(), F.col("new")[c]).otherwise(col(c)).alias(c) for c in COLUMNS],
-        F.coalesce(F.col("created_at"), F.current_timestamp()).alias("created_at"))
+        F.coalesce(F.col("created_at"), F.current_timestamp()).alias("created_at")).unionByName(anonymous)
 
 
 def insert_only(current, df, order=None):
@@ -126,8 +128,10 @@ class CustomerTable:
 
     def _replace(self, rows):
         # Bucketed by id: the next upsert joins the table where it lies and shuffles the batch only.
+        # Rows without an id are spread by their number; a NULL second key leaves the others' place.
         snapshot = f"{self.name}_{uuid.uuid4().hex[:12]}"
-        (rows.select(*SCHEMA.fieldNames()).repartition(self.buckets, "customer_id")
+        spread = F.when(F.col("customer_id").isNull(), F.col("id"))
+        (rows.select(*SCHEMA.fieldNames()).repartition(self.buckets, "customer_id", spread)
          .write.bucketBy(self.buckets, "customer_id").sortBy("customer_id")
          .option("path", new_path(self.spark, snapshot)).saveAsTable(snapshot, format="parquet"))
         self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} AS SELECT * FROM {snapshot}")

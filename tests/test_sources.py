@@ -64,6 +64,9 @@ def test_insert_rejects_known_ids(spark, customers):
     assert customers.insert(batch(spark, [(0, "A", "1", "x"), (1, "A", "2", "y"), (2, None, "3", "z")]), "seq") == 2
     assert customers.insert(batch(spark, [(0, "A", "9", "x"), (1, "B", "2", "y")]), "seq") == 1
     assert {r["tenure"] for r in customers.read().collect()} == {1, 2, 3}
+    customers.save(batch(spark, [(0, "B", "5", "y")]), "seq")
+    kept = customers.read().where("customer_id IS NULL").collect()
+    assert [r["tenure"] for r in kept] == [3] and customers.count() == 3
     customers.clear()
     assert customers.count() == 0 and len(customers.read().columns) == 27
 

@@ -213,13 +213,16 @@ def i5_universal_risk(spark, sf):
 
 
 @query("i6_keyword_risk", with_views("""
-SELECT customer_id, CASE WHEN regexp_matches(lower(contract), '\\bmonth-to-month') THEN 0.75 ELSE 0.5 END::DOUBLE AS contract_risk,
-       CASE WHEN o_orderpriority IS NULL THEN 0.5 WHEN regexp_matches(lower(o_orderpriority), '\\blow') THEN 0.75 ELSE 0.5 END::DOUBLE AS priority_risk
-FROM customer_360 LEFT JOIN orders ON o_custkey = customer_key"""))
+SELECT 'contract' AS signal, customer_key AS key,
+       CASE WHEN regexp_matches(lower(contract), '\\bmonth-to-month') THEN 0.75 ELSE 0.5 END::DOUBLE AS risk FROM customer_360
+UNION ALL SELECT 'priority', o_orderkey,
+       CASE WHEN regexp_matches(lower(o_orderpriority), '\\blow') THEN 0.75 ELSE 0.5 END::DOUBLE FROM orders"""))
 def i6_keyword_risk(spark, sf):
-    d = customer_360(spark, sf).join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("customer_key"), "left")
-    return d.select("customer_id", risk.keyword_risk("contract").alias("contract_risk"),
-                    risk.keyword_risk("o_orderpriority").alias("priority_risk"))
+    parts = [d.select(F.lit(signal).alias("signal"), F.col(key).alias("key"), risk.keyword_risk(c).alias("risk"))
+             for signal, d, key, c in (
+                 ("contract", customer_360(spark, sf), "customer_key", "contract"),
+                 ("priority", table(spark, sf, "orders"), "o_orderkey", "o_orderpriority"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("i7_strategic_segment", with_views(
