@@ -198,7 +198,7 @@ def e13_charge_breakdown(spark, sf):
 
 @query("e13_charge_breakdown_flat", with_views(f"""
 SELECT 0 AS band_order, 'All Customers' AS charge_band, {RATES}, {r2('avg(flat)')} AS average_monthly_charge
-FROM (SELECT *, CAST(least(tenure, 3) AS DOUBLE) AS flat FROM f) WHERE flat IS NOT NULL""", extra=DASH))
+FROM (SELECT *, CASE WHEN tenure IS NOT NULL THEN CAST(least(tenure, 3) AS DOUBLE) END AS flat FROM f) WHERE flat IS NOT NULL""", extra=DASH))
 def e13_charge_breakdown_flat(spark, sf):
     d = stored(customer_360, spark, sf)
     flat = F.when(F.col("tenure").isNotNull(), F.least("tenure", F.lit(3)).cast("double"))
