@@ -1,6 +1,9 @@
 """Registered queries of the pipeline operators: each applies one operator to its whole table."""
 
-from ebbtide.llm import dedup
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from ebbtide.llm import ann, bpe, chat, dedup, lang, mix, quality, shards, topk, urls
 
 QUERIES, SQL = {}, {}
 
@@ -18,6 +21,60 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_bpe_transducer")
+def op1(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path)
+    text = bpe.decoder(spark, path)(F.col("ids"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                      F.sha2(text, 256).alias("decoded_sha256"))
+
+
+@query("op2_language_codes")
+def op2(spark, sf_dir):
+    return lang.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_neighbours")
+def op3(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_minimax_shards")
+def op4(spark, sf_dir):
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op5_exact_top_k")
+def op5(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_url_vocabulary", urls.oracle())
+def op6(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op7_source_mix")
+def op7(spark, sf_dir):
+    return mix.shares(table(spark, sf_dir, "documents"))
+
+
+@query("op8_kmeans_tree_search")
+def op8(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_chat_format")
+def op9(spark, sf_dir):
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*extra.columns).unionByName(extra)
+    return chat.read_back(chat.format_turns(chat.turns(chat.turn_records(rows))))
+
+
 @query("op10_minhash_dedup")
 def op10(spark, sf_dir):
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
