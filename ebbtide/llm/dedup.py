@@ -1,12 +1,14 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
-A document's signature is `chunks * chunk_size` symbols: the low 16 bits of the minima of as many
-hash functions over its shingle set. Two signatures that differ in at most
-`chunks * (errors + 1) - 1` symbols have, by the pigeonhole principle, a chunk with at most `errors`
-differing symbols. Each chunk is therefore indexed once for every choice of `errors` positions left
-out, and equality of one such key finds every pair within that distance. Pairs beyond it still meet
-often: with ten chunks of six symbols and one error a pair of similarity 0.8 is missed once in
-40,000 times. Candidates are confirmed on the full shingle sets, never on signatures alone.
+A document's signature is made of `symbols` minima of hash functions over its shingle set. The low 16
+bits of the first `chunks * chunk_size` of them are its b-bit signature. Two signatures that differ in
+at most `chunks * (errors + 1) - 1` symbols have, by the pigeonhole principle, a chunk with at most
+`errors` differing symbols. Each chunk is therefore indexed once for every choice of `errors`
+positions left out, and equality of one such key finds every pair within that distance. Pairs beyond
+it still meet often: with ten chunks of six symbols and one error a pair of similarity 0.8 is missed
+once in 40,000 times. One bit of every minimum makes a sketch; pairs whose sketches differ in more
+than `most_bits` bits (five standard deviations at similarity 0.8) are dropped where they meet.
+The others are confirmed on the full shingle sets.
 
 Documents of equal sets form a class and only the smallest doc_id stands for it. Within a bucket
 the members are compared with few hubs first; members of one component need no more comparison,
@@ -22,41 +24,53 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ebbtide.llm.sending import broadcast, received
 from ebbtide.llm.shingles import WordHashes, mix, shingle_set, texts, words
 from ebbtide.session import materialize
 
-PRINTS = "doc_id long, n_shingles long, set_key string, signature binary, bands array<long>"
+WORDS_OF_SKETCH = [f"sketch_{k}" for k in range(4)]
+SYMBOLS = 64 * len(WORDS_OF_SKETCH)
+PRINTS = f"doc_id long, n_shingles long, set_key string, signature binary, {', '.join(f'{w} long' for w in WORDS_OF_SKETCH)}"
 SETS = "doc_id long, shingles array<long>"
-BLOCK = 8192
+BLOCK = 4096
+BITMAP_BITS = 1 << 25
 
 
 class Signer:
-    """Signatures and chunk keys for shingle sets."""
+    """Signatures, sketches and chunk keys of shingle sets."""
 
     def __init__(self, chunks, chunk_size, errors, seed):
         self.chunks, self.size = chunks, chunk_size
         rng = np.random.default_rng(seed)
-        symbols = chunks * chunk_size
-        self.factors = rng.integers(1, 2**63, symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.offsets = rng.integers(0, 2**63, symbols, dtype=np.uint64)
-        self.salts = rng.integers(0, 2**63, (chunks, chunk_size), dtype=np.uint64)
+        self.factors = rng.integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.offsets = rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
+        self.salts = rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
         left = list(combinations(range(chunk_size), errors))
         self.keep = np.array([[p not in gone for p in range(chunk_size)] for gone in left])
         self.key_salts = rng.integers(0, 2**63, (chunks, len(left)), dtype=np.uint64)
 
-    def signature(self, items):
-        low = np.full(len(self.factors), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(items), BLOCK):
-            part = items[at:at + BLOCK, None] * self.factors + self.offsets
+    def minima(self, items):
+        low = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
+        high = (items >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(high), BLOCK):
+            part = high[at:at + BLOCK, None] * self.factors
+            part += self.offsets
             np.minimum(low, part.min(axis=0), out=low)
-        return ((low >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
+        return low
 
-    def bands(self, signatures):
+    def signatures(self, minima):
+        """Per row of minima: the 16-bit symbols that are indexed, and the sketch as 64-bit words."""
+        mixed = mix(minima.astype(np.uint64) + self.salts)
+        symbols = (mixed[:, :self.chunks * self.size] & np.uint64(0xFFFF)).astype(np.uint16)
+        return symbols, np.packbits((mixed >> np.uint64(40)).astype(np.uint8) & 1, axis=1).view(np.int64)
+
+    def bands(self, symbols):
         """Keys of all chunks with every allowed choice of left-out positions."""
-        n = len(signatures)
-        parts = mix(signatures.reshape(n, self.chunks, self.size).astype(np.uint64) + self.salts)
+        n = len(symbols)
+        used = self.chunks * self.size
+        parts = mix(symbols.astype(np.uint64) + self.salts[:used]).reshape(n, self.chunks, self.size)
         sums = np.stack([parts[:, :, keep].sum(axis=2, dtype=np.uint64) for keep in self.keep], axis=2)
-        return mix(sums + self.key_salts).reshape(n, -1)
+        return mix(sums + self.key_salts).reshape(n, -1).view(np.int64)
 
 
 def lists(flat, lengths):
@@ -66,39 +80,66 @@ def lists(flat, lengths):
 
 
 def fingerprints(docs, size, signer):
-    """One row per document: set size, key of its set, signature and chunk keys."""
+    """One row per document: set size, key of its set, signature and sketch (zeros without words)."""
     def run(batches):
         memo = WordHashes()
         for batch in batches:
-            counts, keys, found, bands = [], [], [], []
+            counts, keys, found = [], [], [np.empty((0, SYMBOLS), np.uint32)]
             for text in texts(batch.column(1)):
                 items = shingle_set(words(text), size, memo)
                 counts.append(len(items))
                 keys.append(hashlib.blake2b(items.tobytes(), digest_size=16).hexdigest() if len(items) else None)
-                if len(items):
-                    found.append(signer.signature(items))
-            full = np.array([k is not None for k in keys], bool)
-            flat = signer.bands(np.array(found)) if found else np.empty((0, 0), np.uint64)
-            signatures, rows = [None] * len(keys), np.flatnonzero(full)
-            for at, row in zip(rows, found):
-                signatures[at] = row.tobytes()
-            bands = lists(flat.ravel().view(np.int64), np.where(full, flat.shape[1], 0))
+                found.append(signer.minima(items)[None, :])
+            symbols, sketch = signer.signatures(np.concatenate(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.string()),
-                 pa.array(signatures, pa.binary()), bands],
-                ["doc_id", "n_shingles", "set_key", "signature", "bands"])
+                 pa.array([row.tobytes() for row in symbols], pa.binary()),
+                 *(pa.array(np.ascontiguousarray(word)) for word in sketch.T)],
+                ["doc_id", "n_shingles", "set_key", "signature", *WORDS_OF_SKETCH])
     return docs.mapInArrow(run, PRINTS)
 
 
-def shingle_sets(docs, size):
+def indexed(heads, signer):
+    """(band, rep): the chunk keys of every representative."""
     def run(batches):
-        memo = WordHashes()
         for batch in batches:
+            symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16)
+            keys = signer.bands(symbols.reshape(batch.num_rows, -1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], ["band", "rep"])
+    return heads.select("rep", "signature").mapInArrow(run, "band long, rep long")
+
+
+def shingle_sets(docs, size, bitmap):
+    """Sets of the documents whose bit is set in the bitmap."""
+    bits = broadcast(docs.sparkSession, bitmap)
+
+    def run(batches):
+        memo, wanted = WordHashes(), received(bits)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((wanted[at >> 3] >> (at & 7) & 1).astype(bool)))
             found = [shingle_set(words(text), size, memo) for text in texts(batch.column(1))]
-            flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            flat = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), lists(flat, [len(x) for x in found])], ["doc_id", "shingles"])
-    return docs.mapInArrow(run, SETS)
+    return docs.select("doc_id", "text", bit_of("doc_id").alias("bit")).mapInArrow(run, SETS)
+
+
+def bit_of(name):
+    return F.pmod(F.xxhash64(name), F.lit(BITMAP_BITS))
+
+
+def bitmap_of(ids):
+    """Bitmap of fixed size with the bit of every id; other ids may share a bit, none is lost."""
+    bit = bit_of("doc_id")
+    parts = ids.groupBy(F.bitmap_bucket_number(bit + 1).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit + 1)).alias("bits")).collect()
+    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for row in parts:
+        piece = np.frombuffer(row.bits, np.uint8)
+        out[(row.part - 1) * len(piece):row.part * len(piece)] = piece
+    return out
 
 
 def components(edges):
@@ -119,74 +160,75 @@ def components(edges):
         before = state
 
 
-def confirmed(pairs, docs, size, prints, percent, distance):
-    """The pairs (a, b) whose sets share at least `percent` of their union. Signatures further
-    apart than `distance` symbols are left out first; at similarity 0.8 this is over five standard
-    deviations from the mean."""
-    width = F.least(F.length("s_a"), F.length("s_b"))
-    near = F.expr("""size(filter(sequence(0, %d),
-        i -> substr(hex(s_a), 4 * i + 1, 4) != substr(hex(s_b), 4 * i + 1, 4)))""" % (distance[0] - 1))
-    prints = prints.select("doc_id", "n_shingles", "signature")
-    sized = (pairs.join(prints.toDF("a", "n_a", "s_a"), "a").join(prints.toDF("b", "n_b", "s_b"), "b")
-             .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-             .where((width > 0) & (near <= distance[1])).select("a", "b", "n_a", "n_b"))
-    sized = materialize(sized, "pairs")
-    ids = sized.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(shingle_sets(docs.join(ids, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]), "sets")
-    both = sized.join(sets.toDF("a", "x_a"), "a").join(sets.toDF("b", "x_b"), "b")
+def confirmed(pairs, docs, size, percent):
+    """The pairs (a, b, n_a, n_b) whose sets share at least `percent` of their union. Sets are made
+    anew for the documents of the pairs only; the texts themselves are not shuffled."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = shingle_sets(docs.where("doc_id is not null"), size, bitmap_of(ids))
+    sets = materialize(sets.join(ids, "doc_id").dropDuplicates(["doc_id"]), "sets")
+    both = pairs.join(sets.toDF("a", "x_a"), "a").join(sets.toDF("b", "x_b"), "b")
     return (both.withColumn("both", F.size(F.array_intersect("x_a", "x_b")))
             .where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b"))
 
 
-def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1, max_distance=28, growth=16, seed=7):
+def met(members, hubs, percent, most_bits, *more):
+    """Distinct pairs (a, b, n_a, n_b) of hubs and members of a bucket that may be similar enough."""
+    m, h = members.alias("m"), hubs.alias("h")
+    apart = sum(F.bit_count(F.col(f"m.{w}").bitwiseXOR(F.col(f"h.{w}"))) for w in WORDS_OF_SKETCH)
+    small, large = (f(F.col("m.n"), F.col("h.n")) for f in (F.least, F.greatest))
+    near = (F.col("m.rep") > F.col("h.rep")) & (small * 100 >= large * percent) & (apart <= most_bits)
+    for condition in more:
+        near &= condition
+    return (m.join(h, (F.col("m.band") == F.col("h.band")) & near)
+            .select(F.col("h.rep").alias("a"), F.col("m.rep").alias("b"), F.col("h.n").alias("n_a"), F.col("m.n").alias("n_b"))
+            .distinct())
+
+
+def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1, most_bits=50, growth=64, seed=7):
     """Component of every document under "shares at least `percent` of the union of shingles".
 
     Returns doc_id, n_shingles, component_id, kept for each row of `docs` (columns doc_id, text).
     Null and wordless texts have no shingles and are linked with nothing; rows without doc_id keep
-    a null component and stay. Rows that repeat a doc_id are judged by one of them and all returned.
+    a null component and stay. Of texts that share a doc_id, one is compared; all rows are returned.
     """
     docs = docs.select("doc_id", "text")
-    prints = materialize(fingerprints(docs, size, Signer(chunks, chunk_size, errors, seed)), "prints")
-    named = prints.where("doc_id is not null and n_shingles > 0")
-    classes = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = materialize(named.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"])
-                        .dropDuplicates(["doc_id"]), "heads")
-
-    entries = heads.select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"))
-    full = (entries.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("n"))
+    signer = Signer(chunks, chunk_size, errors, seed)
+    prints = materialize(fingerprints(docs, size, signer), "prints")
+    same = [F.first(c).alias(c) for c in ("signature", *WORDS_OF_SKETCH)]
+    heads = materialize(prints.where("doc_id is not null and n_shingles > 0").groupBy("set_key")
+                        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *same), "heads")
+    entries = indexed(heads, signer)
+    full = (entries.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"))
             .where("hub < last").drop("last"))
-    crowded = materialize(entries.join(full, "band"), "crowded")
+    crowded = entries.join(full, "band").join(heads.select("rep", "n", *WORDS_OF_SKETCH), "rep")
+    crowded = materialize(crowded, "crowded")
 
-    pairs = crowded.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    distance = (chunks * chunk_size, max_distance)
-    links = materialize(confirmed(pairs, docs, size, heads, percent, distance), "links")
-    labels = components(links)
+    pairs = materialize(met(crowded, crowded.where("rep = hub"), percent, most_bits), "pairs")
+    labels = components(materialize(confirmed(pairs, docs, size, percent), "links"))
     done = 1
     while True:
         hubs = done * growth
-        mine = (crowded.where(F.col("n") > done + 1).join(labels.toDF("rep", "component"), "rep", "left")
-                .select("band", "rep", F.coalesce("component", "rep").alias("component")))
-        open_bands = (mine.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                      .where("x < y").select("band"))
+        mine = (crowded.join(labels.toDF("rep", "component"), "rep", "left")
+                .withColumn("component", F.coalesce("component", "rep")))
+        open_bands = (mine.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"),
+                                               F.count("*").alias("members"))
+                      .where(F.col("members") > done + 1).where("x < y").select("band"))
         mine = materialize(mine.join(open_bands, "band"), "open")
+        if mine.isEmpty():
+            break
         order = F.row_number().over(Window.partitionBy("band").orderBy("rep"))
-        few = (mine.withColumn("order", order).where(F.col("order") <= hubs).where(F.col("order") > done)
-               .select("band", F.col("rep").alias("hub"), F.col("component").alias("hub_component")))
-        pairs = (mine.join(few, "band").where("rep > hub and component != hub_component")
-                 .select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-        pairs = materialize(pairs, "more")
+        few = mine.withColumn("order", order).where(F.col("order") <= hubs).where(F.col("order") > done)
+        pairs = materialize(met(mine, few, percent, most_bits, F.col("m.component") != F.col("h.component")), "pairs")
         if not pairs.isEmpty():
-            more = materialize(confirmed(pairs, docs, size, heads, percent, distance), "links")
+            more = materialize(confirmed(pairs, docs, size, percent), "links")
             if not more.isEmpty():
                 labels = components(labels.toDF("a", "b").unionByName(more))
-        elif mine.isEmpty():
-            break
         done = hubs
 
-    named_classes = (classes.join(labels.toDF("rep", "component"), "rep", "left")
-                     .select("set_key", F.coalesce("component", "rep").alias("component")))
+    classes = (heads.select("set_key", "rep").join(labels.toDF("rep", "component"), "rep", "left")
+               .select("set_key", F.coalesce("component", "rep").alias("component")))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return (prints.select("doc_id", "n_shingles", "set_key").join(named_classes, "set_key", "left")
+    return (prints.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
             .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
             .select("doc_id", "n_shingles", "component_id",
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
