@@ -24,11 +24,10 @@ def table(spark, sf_dir, name):
 @query("op1_bpe_transducer")
 def op1(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path)
-    text = bpe.decoder(spark, path)(F.col("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                      F.sha2(text, 256).alias("decoded_sha256"))
+    rows = bpe.round_trip(table(spark, sf_dir, "documents"), path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op2_language_codes")

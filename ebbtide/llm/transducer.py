@@ -6,7 +6,6 @@ is one flat block of integers that is memory-mapped where it is used.
 """
 
 import mmap
-from bisect import bisect_left
 
 import numpy as np
 
@@ -67,55 +66,65 @@ def build(pairs):
 
 
 def packed(root):
-    """The automaton as bytes: four lengths, then int32 arrays of arc starts, finality, arc labels,
-    arc targets, output places (of arcs, then of final states) and outputs."""
+    """The automaton as bytes: lengths, then int32 arrays of the symbol of each byte (0: none), the
+    arc of each state and symbol (0: none), arc targets, ends of final outputs (-1: not final),
+    places of arc outputs and of final outputs, and outputs."""
     order, at = [root], {id(root): 0}
     for state in order:
         for target, _ in state.arcs.values():
             if id(target) not in at:
                 at[id(target)] = len(order)
                 order.append(target)
-    starts, final, labels, targets, places, pool, seen = [0], [], [], [], [], [], {(): (0, 0)}
+    used = sorted({c for state in order for c in state.arcs})
+    symbols = np.zeros(256, np.int32)
+    symbols[used] = np.arange(1, len(used) + 1)
+    width = len(used) + 1
+    table, targets, places, pool, seen = np.zeros(len(order) * width, np.int32), [0], [0, 0], [], {(): (0, 0)}
 
     def place(out):
         if out not in seen:
             seen[out] = (len(pool), len(pool) + len(out))
             pool.extend(out)
         return seen[out]
-    for state in order:
-        for c, (target, out) in sorted(state.arcs.items()):
-            labels.append(c), targets.append(at[id(target)]), places.extend(place(out))
-        starts.append(len(labels)), final.append(int(state.final))
-    for state in order:
-        places.extend(place(state.tail))
-    head = [len(order), len(labels), len(pool), 0]
-    return np.array(head + starts + final + labels + targets + places + pool, np.int32).tobytes()
+    for k, state in enumerate(order):
+        for c, (target, out) in state.arcs.items():
+            table[k * width + symbols[c]] = len(targets)
+            targets.append(at[id(target)] * width)
+            places.extend(place(out))
+    tails = np.full(2 * len(order), -1, np.int32)
+    for k, state in enumerate(order):
+        if state.final:
+            tails[2 * k:2 * k + 2] = place(state.tail)
+    parts = [symbols, table, targets, places, tails, pool]
+    head = [width, *(len(p) for p in parts)]
+    return np.concatenate([np.asarray(p, np.int32) for p in (head, *parts)]).tobytes()
 
 
 class Transducer:
-    """A packed automaton, read through a memory map."""
+    """A packed automaton, read through a memory map. States are numbered in steps of the row width."""
 
     def __init__(self, path):
         with open(path, "rb") as file:
-            data = memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)).cast("i")
-        states, arcs, pool, _ = data[:4]
-        at, parts = 4, []
-        for n in (states + 1, states, arcs, arcs, 2 * arcs, 2 * states, pool):
-            parts.append(data[at:at + n])
+            self.data = memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)).cast("i")
+        self.width, *lengths = self.data[:7]
+        at, parts = 7, []
+        for n in lengths:
+            parts.append(self.data[at:at + n])
             at += n
-        self.starts, self.final, self.labels, self.targets, self.places, self.tails, self.pool = parts
+        self.symbols, self.table, self.targets, self.places, self.tails, self.pool = parts
+        self.pool = self.pool.cast("B") if len(self.pool) else b""
 
     def get(self, word):
-        """Ids of the word, None if it is not in the lexicon."""
-        starts, labels, places, out, state = self.starts, self.labels, self.places, [], 0
+        """Ids of the word as bytes of int32, None if it is not in the lexicon."""
+        symbols, table, targets, places, out, state = self.symbols, self.table, self.targets, self.places, b"", 0
         for c in word:
-            past = starts[state + 1]
-            arc = bisect_left(labels, c, starts[state], past)
-            if arc == past or labels[arc] != c:
+            arc = table[state + symbols[c]]
+            if not arc:
                 return None
-            if places[2 * arc] != places[2 * arc + 1]:
-                out += self.pool[places[2 * arc]:places[2 * arc + 1]]
-            state = self.targets[arc]
-        if not self.final[state]:
-            return None
-        return out + list(self.pool[self.tails[2 * state]:self.tails[2 * state + 1]])
+            first, past = places[2 * arc], places[2 * arc + 1]
+            if first != past:
+                out += self.pool[4 * first:4 * past]
+            state = targets[arc]
+        row = 2 * (state // self.width)
+        past = self.tails[row + 1]
+        return None if past < 0 else out + bytes(self.pool[4 * self.tails[row]:4 * past])
