@@ -232,3 +232,15 @@ def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1,
             .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
             .select("doc_id", "n_shingles", "component_id",
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
+
+
+def filtered(docs, **options):
+    """One row of docs, all columns, for each component of near duplicates: the smallest doc_id's.
+    Rows without doc_id and texts without words stay; of rows that repeat a doc_id one stays."""
+    found = materialize(near_duplicates(docs, **options), "components")
+    repeated = (found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+                .where("n > 1").select("doc_id"))
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)

@@ -110,36 +110,54 @@ def fit(docs, buckets=BUCKETS):
     return Codes(names, counts) if names else None
 
 
+def judged(text, codes, table, buckets, gap, sharpness):
+    """(language, score, ambiguous) of one text. Null texts, texts without letters and all texts
+    under an empty model are `und` with score 0 and ambiguous."""
+    counts, found = counted(text, table, buckets) if text and codes else (None, False)
+    if not found:
+        return "und", 0.0, True
+    loss = codes.losses(counts)
+    best = int(loss.argmin())
+    others = np.delete(loss, best)
+    doubt = bool(len(others) and others.min() - loss[best] < gap)
+    return codes.names[best], float(1 / np.exp(-sharpness * (loss - loss[best])).sum()), doubt
+
+
 def predict(docs, model, buckets=BUCKETS, gap=0.25, sharpness=4.0):
-    """docs (doc_id, held_out, text) with lang_pred, score and ambiguous. Null texts, texts without
-    letters and all texts under an empty model are `und` with score 0."""
+    """docs (doc_id, held_out, text) with lang_pred, score and ambiguous."""
     shared = broadcast(docs.sparkSession, model)
 
     def run(batches):
         table, codes = classes(), received(shared)
         for batch in batches:
-            names, scores, doubts = [], [], []
-            for text in batch.column(2).to_pylist():
-                counts, found = counted(text, table, buckets) if text and codes else (None, False)
-                if not found:
-                    names.append("und"), scores.append(0.0), doubts.append(True)
-                    continue
-                loss = codes.losses(counts)
-                best = int(loss.argmin())
-                others = np.delete(loss, best)
-                names.append(codes.names[best])
-                scores.append(float(1 / np.exp(-sharpness * (loss - loss[best])).sum()))
-                doubts.append(bool(len(others) and others.min() - loss[best] < gap))
+            found = [judged(t, codes, table, buckets, gap, sharpness) for t in batch.column(2).to_pylist()]
+            names, scores, doubts = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()),
                  pa.array(doubts, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
     return docs.mapInArrow(run, RESULT)
 
 
+def held_out(modulus, remainder):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+
+
+def filtered(docs, modulus=4, remainder=2, buckets=BUCKETS, gap=0.25, sharpness=4.0):
+    """The rows of docs, all columns, whose language the model of `identify` recognises beyond doubt."""
+    shared = broadcast(docs.sparkSession, fit(docs.where(~held_out(modulus, remainder))))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        table, codes = classes(), received(shared)
+        for batch in batches:
+            sure = [not judged(t, codes, table, buckets, gap, sharpness)[2] for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(sure, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs, modulus=4, remainder=2):
     """Predict the language of every text, learning from the rows whose crc32(doc_id) mod `modulus`
     is not `remainder` and whose lang is given. Rows without doc_id are judged, never learned from."""
-    held = F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
-    rows = docs.select("doc_id", "text", "lang", held.alias("held_out"))
+    rows = docs.select("doc_id", "text", "lang", held_out(modulus, remainder).alias("held_out"))
     model = fit(rows.where(~F.col("held_out")))
     return predict(rows.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text"), model)

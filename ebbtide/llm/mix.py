@@ -192,7 +192,7 @@ def mixed(docs, **options):
     """docs with the mix applied, same columns: copy j of a document holds the pieces taken at least
     j times; documents of which nothing is taken go. Column n_chars, if present, is renewed."""
     names = docs.columns
-    numbered = materialize(docs.select(F.struct(*names).alias("doc")).withColumn(
+    numbered = materialize(docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("doc")).withColumn(
         "row", F.monotonically_increasing_id()), "numbered")
     rows = numbered.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"),
                            F.col("doc.text").alias("text"))

@@ -88,34 +88,57 @@ def fit(docs, labels, sample, dims, buckets=BUCKETS):
                       np.array([r.quality for r in rows], float), dims)
 
 
+def scored(texts, fitted, table, neighbours, power, buckets):
+    """Scores of a block of texts. Null and empty texts get the share of label 1 in the sample;
+    without any label all scores are 0.5."""
+    if fitted is None or not texts:
+        return np.full(len(texts), 0.5)
+    rows = np.stack([features(t, table, buckets) for t in texts])
+    return fitted.scores(rows, neighbours, power).astype(float)
+
+
 def score(docs, model, threshold=0.3, neighbours=25, power=4.0, buckets=BUCKETS):
-    """docs (doc_id, held_out, text) with score and predicted. Null and empty texts get the share of
-    label 1 in the sample; without any label all scores are 0.5."""
+    """docs (doc_id, held_out, text) with score and predicted, see `scored`."""
     shared = broadcast(docs.sparkSession, model)
 
     def run(batches):
         table, fitted = classes(), received(shared)
         for batch in batches:
-            column, scores = batch.column(2), []
-            for at in range(0, batch.num_rows, BLOCK):
-                part = column.slice(at, BLOCK).to_pylist()
-                if fitted is None:
-                    scores.append(np.full(len(part), 0.5))
-                else:
-                    rows = np.stack([features(t, table, buckets) for t in part])
-                    scores.append(fitted.scores(rows, neighbours, power))
-            found = np.concatenate(scores).astype(float) if scores else np.empty(0)
+            column = batch.column(2)
+            found = np.concatenate([np.empty(0), *(
+                scored(column.slice(at, BLOCK).to_pylist(), fitted, table, neighbours, power, buckets)
+                for at in range(0, batch.num_rows, BLOCK))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found), pa.array((found >= threshold).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"])
     return docs.mapInArrow(run, RESULT)
 
 
+def filtered(docs, labels, threshold=0.3, neighbours=25, power=4.0, modulus=5, remainder=0, sample=2048, dims=48,
+             buckets=BUCKETS):
+    """The rows of docs, all columns, whose text scores at least `threshold` by the model of `classify`."""
+    shared = broadcast(docs.sparkSession, learned(docs, labels, modulus, remainder, sample, dims))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        table, fitted = classes(), received(shared)
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                scores = scored(part.column(at).to_pylist(), fitted, table, neighbours, power, buckets)
+                yield part.filter(pa.array(scores >= threshold))
+    return docs.mapInArrow(run, docs.schema)
+
+
+def learned(docs, labels, modulus, remainder, sample, dims):
+    """Model from the labels of rows whose crc32(doc_id) mod `modulus` is not `remainder`."""
+    held = F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+    return fit(docs, labels.select("doc_id", "quality").where(~held), sample, dims)
+
+
 def classify(docs, labels, modulus=5, remainder=0, sample=2048, dims=48):
     """Score every text, learning from labels of rows whose crc32(doc_id) mod `modulus` is not
     `remainder`. Rows without doc_id are scored, never learned from."""
-    def held(name):
-        return F.crc32(F.col(name).cast("string")) % modulus == remainder
-    model = fit(docs, labels.select("doc_id", "quality").where(~held("doc_id")), sample, dims)
-    rows = docs.select("doc_id", F.coalesce(held("doc_id"), F.lit(False)).alias("held_out"), "text")
-    return score(rows, model)
+    held = F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+    rows = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
+    return score(rows, learned(docs, labels, modulus, remainder, sample, dims))
