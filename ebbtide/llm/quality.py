@@ -41,10 +41,10 @@ class Neighbours:
     def __init__(self, rows, labels, dims, seed=5):
         self.mean = rows.mean(axis=0)
         seen = (rows > 0).sum(axis=0)
-        self.scale = np.log((1 + len(rows)) / (1 + seen)) + 1
+        self.scale = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(rows.dtype)
         centred = (rows - self.mean) * self.scale
         rng = np.random.default_rng(seed)
-        base = np.linalg.qr(centred @ rng.standard_normal((rows.shape[1], dims + 16)))[0]
+        base = np.linalg.qr(centred @ rng.standard_normal((rows.shape[1], dims + 16)).astype(rows.dtype))[0]
         for _ in range(3):
             base = np.linalg.qr(centred @ (centred.T @ base))[0]
         _, _, directions = np.linalg.svd(base.T @ centred, full_matrices=False)
@@ -84,7 +84,7 @@ def fit(docs, labels, sample, dims, buckets=BUCKETS):
     rows = texts.mapInArrow(run, FEATURES).orderBy("features").collect()
     if not rows:
         return None
-    return Neighbours(np.stack([np.frombuffer(r.features, np.float32) for r in rows]).astype(float),
+    return Neighbours(np.stack([np.frombuffer(r.features, np.float32) for r in rows]),
                       np.array([r.quality for r in rows], float), dims)
 
 

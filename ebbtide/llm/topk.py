@@ -85,17 +85,18 @@ def gathered(vectors, shared, k):
 
 
 def sufficient(parts, foreign, cutoff):
-    """Phases 2 and 3 for one piece: positions (query, vector) and exact scores at or above the cutoff."""
+    """Phases 2 and 3 for one piece: positions (query, vector) and exact scores at or above the cutoff.
+    Bounds get a little slack for rounding; what is returned is decided on the exact scores."""
     least = [p.min(axis=1, keepdims=True) for p in parts]
     missing = cutoff - sum(least).astype(float)
+    slack = 1e-9 * abs(np.where(np.isfinite(missing), missing, 0))
     threshold, upper = missing / len(parts), np.zeros(foreign.shape)
     hit = np.zeros(foreign.shape, bool)
     for part, low in zip(parts, least):
         above = (part - low).astype(float)
-        seen = above * len(parts) >= missing
+        seen = above * len(parts) >= missing - slack
         upper += np.where(seen, above, threshold)
         hit |= seen
-    slack = 1e-9 * np.maximum(abs(np.where(np.isfinite(missing), missing, 0)), 1)
     hit &= foreign & ((upper >= missing - slack) | ~np.isfinite(missing))
     query, at = np.nonzero(hit)
     scores = sum(p[query, at] for p in parts).astype(np.int64)
