@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from ebbtide.llm.sending import broadcast, received
 from ebbtide.llm.topk import ranked
-from ebbtide.llm.vectors import best, found_rows, matrix, usable
+from ebbtide.llm.vectors import best, found_rows, leading, matrix, usable
 from ebbtide.session import materialize
 
 CHUNK, QUERIES = 1024, 512
@@ -166,10 +166,11 @@ def compared(pairs, width, k):
             for row in range(batch.num_rows):
                 (own, q), (ids, x) = (unpacked(batch.column(c), row, width) for c in (0, 1))
                 scores = np.where(own[:, None] != ids, q @ x.T, -np.inf)
-                at = best(scores, k)
-                top = np.take_along_axis(scores, at, axis=1)
-                query, place = np.nonzero(np.isfinite(top))
-                yield found_rows(own[query], ids[at[query, place]], top[query, place], pa.float64())
+                least = np.take_along_axis(scores, best(scores, k), axis=1).min(axis=1, keepdims=True)
+                query, place = np.nonzero((scores >= least) & np.isfinite(scores))
+                kept = leading(query, ids[place], scores[query, place], k)
+                query, place = query[kept], place[kept]
+                yield found_rows(own[query], ids[place], scores[query, place], pa.float64())
     return pairs.select("queries", "items").mapInArrow(run, FOUND)
 
 
@@ -186,7 +187,7 @@ def search(embeddings, every=20, k=20, recall=0.96, sample=16_384, leaf_rows=512
     spark = vectors.sparkSession
     size = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not size[0]:
-        return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     rows, ids = np.zeros((len(picked), size[1])), np.array([r.vec_id for r in picked], np.int64)
     for n, r in enumerate(picked):

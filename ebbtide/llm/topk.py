@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ebbtide.llm.sending import broadcast, received
-from ebbtide.llm.vectors import best, found_rows, matrix, usable
+from ebbtide.llm.vectors import best, found_rows, leading, matrix, usable
 from ebbtide.session import materialize, new_path
 
 LIMIT = 2**27
@@ -104,16 +104,22 @@ def sufficient(parts, foreign, cutoff):
     return query[keep], at[keep], scores[keep]
 
 
-def resolved(vectors, shared, cutoffs):
-    """Phases 2 and 3: (query_id, vec_id, score) of all vectors that reach the query's cutoff."""
+def resolved(vectors, shared, cutoffs, k):
+    """Phases 2 and 3: (query_id, vec_id, score) of the vectors that reach the query's cutoff; of a
+    batch, the k first by score and id, as no others can be among the k first of all."""
     def run(batches):
         block, cutoff = received(shared), received(cutoffs)[:, None]
         for batch in batches:
+            found = []
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 ids = part.column(0).to_numpy()
                 query, place, scores = sufficient(block.parts(part.column(1)), block.foreign(ids), cutoff)
-                yield found_rows(block.ids[query], ids[place], scores, pa.int64())
+                found.append((query, ids[place], scores))
+            if found:
+                query, ids, scores = (np.concatenate(x) for x in zip(*found))
+                kept = leading(query, ids, scores, k)
+                yield found_rows(block.ids[query[kept]], ids[kept], scores[kept], pa.int64())
     return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
@@ -152,7 +158,7 @@ def search(embeddings, every=100, k=10, scale=1024.0, lists=2, query_block=2048)
                .select("query", "score").collect())
         cutoff = np.full(len(rows), -np.inf)
         cutoff[[r.query for r in kth]] = [r.score for r in kth]
-        found = resolved(vectors, shared, broadcast(spark, cutoff))
+        found = resolved(vectors, shared, broadcast(spark, cutoff), k)
         ranked(found, k).write.mode("append").parquet(path)
         shared.unpersist()
     kind = "query_id long, rank int, vec_id long, score long"

@@ -37,3 +37,12 @@ def best(scores, k):
     """Column numbers of each row's k highest scores, in no order."""
     k = min(k, scores.shape[1])
     return np.argpartition(-scores, k - 1, axis=1)[:, :k] if k else np.empty((len(scores), 0), int)
+
+
+def leading(query, ids, scores, k):
+    """Positions of each query's k highest scores, ties to smaller ids, in a flat list of results."""
+    order = np.lexsort((ids, -scores, query))
+    sorted_query = query[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_query[1:] != sorted_query[:-1]])) if len(order) else order
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[place < k]
