@@ -35,16 +35,21 @@ def category_columns(df):
     return [f.name for f in df.schema.fields if isinstance(f.dataType, TEXT + (T.BooleanType,))]
 
 
+def finite(c):
+    """Neither NaN nor an infinity; NULL for NULL."""
+    return ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+
+
 def value(df, name):
-    """The column with NaN turned into NULL, the only missing marker used here."""
+    """The column with NaN and infinities turned into NULL, the only missing marker used here."""
     if isinstance(dtype(df, name), FLOATING):
-        return F.when(~F.isnan(col(name)), col(name))
+        return F.when(finite(col(name)), col(name))
     return col(name)
 
 
 def missing(df, name):
     if isinstance(dtype(df, name), FLOATING):
-        return col(name).isNull() | F.isnan(col(name))
+        return col(name).isNull() | ~finite(col(name))
     return col(name).isNull()
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ebbtide.functions import fixed
 from ebbtide.functions.columns import col, number
 from ebbtide.functions.names import find_column
-from ebbtide.operators.rank import average_ranks, range_splits
+from ebbtide.operators.rank import average_ranks
 
 
 def _ratio(a, b):
@@ -36,11 +36,9 @@ def roc_auc(df, model=None, label="label", score="score", rows_per_bucket=1_000_
     rows = df.select(name.alias("feature"), F.col(score).cast("double").alias("value"),
                      F.col(label).cast("int").alias("y")).where("value IS NOT NULL AND y IS NOT NULL")
     counts = rows.groupBy("feature", "value").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
-    # Scores of all models share one set of range borders.
-    cuts = range_splits(rows, ["value"], rows_per_bucket)["value"]
-    names = [r[0] for r in rows.select("feature").distinct().collect()] if cuts else []  # few models
-    ranked = average_ranks(counts, {n: cuts for n in names})
-    p, n = F.sum("positives"), F.sum("n") - F.sum("positives")
+    ranked = average_ranks(counts, rows_per_bucket)
+    # As doubles: products of counts pass the range of BIGINT.
+    p, n = F.sum("positives").cast("double"), (F.sum("n") - F.sum("positives")).cast("double")
     u = F.sum(F.col("average_rank") * F.col("positives")) - p * (p + 1) / 2
     return ranked.groupBy(F.col("feature").alias("model")).agg(_ratio(u, p * n).alias("roc_auc"))
 

@@ -11,14 +11,12 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ebbtide.functions.columns import col
+from ebbtide.functions.columns import col, value
 from ebbtide.session import materialize
 
 ROW_LIMIT = 10_000
 BINS = 4_096
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4_096
-SPLIT_VALUES = 100_000
 HEAVY_SHARE = 1_000
 AGGREGATES_PER_JOB = 90
 
@@ -37,8 +35,8 @@ def agg_values(df, exprs):
 
 
 def extents(df, columns):
-    """{column: (non-null count, smallest, largest)} in one pass."""
-    got = agg_values(df, {f"{kind}{i}": f(col(c)) for i, c in enumerate(columns)
+    """{column: (count, smallest, largest)} of the finite values in one pass."""
+    got = agg_values(df, {f"{kind}{i}": f(value(df, c)) for i, c in enumerate(columns)
                           for kind, f in (("n", F.count), ("a", F.min), ("z", F.max))})
     return {c: (got[f"n{i}"], got[f"a{i}"], got[f"z{i}"]) for i, c in enumerate(columns)}
 
@@ -73,14 +71,20 @@ def _hits(df, searches, *extra):
     return df.select(F.inline(F.array_compact(F.array(*cells))))
 
 
+def _half_width(low, high):
+    """Half the width, because the width itself can exceed the range of doubles."""
+    return float(high) / 2 - float(low) / 2
+
+
 def _bin(c, low, high):
     """Range number; it never falls as the value grows, which is all the search needs."""
-    share = (col(c).cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low))
+    share = (col(c).cast("double") / 2 - F.lit(float(low) / 2)) / F.lit(_half_width(low, high))
     return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
 
 
 def order_statistics(df, ranks, extent=None, row_limit=ROW_LIMIT):
-    """{column: {k: k-th smallest value}} for 1-based ranks k of columns of one numeric type."""
+    """{column: {k: k-th smallest value}} for 1-based ranks k of columns of one numeric type. NaN and
+    infinities are missing values."""
     extent = extent or extents(df, list(ranks))
     found = {c: {} for c in ranks}
     # (column, smallest, largest value of the interval): [rows below it, rows inside, ranks]
@@ -90,7 +94,7 @@ def order_statistics(df, ranks, extent=None, row_limit=ROW_LIMIT):
         if low == high:
             found[c].update(dict.fromkeys(ks, low))
         else:
-            few = n <= row_limit or float(low) == float(high)  # then at most 2,048 integers differ
+            few = n <= row_limit or _half_width(low, high) == 0  # then at most some thousand values differ
             (narrow if few else wide)[(c, low, high)] = (below, n, ks)
 
     for c, ks in ranks.items():
@@ -107,6 +111,8 @@ def order_statistics(df, ranks, extent=None, row_limit=ROW_LIMIT):
                 below, _, ks = now[key]
                 for r in (r for r in rows if r["s"] == i):
                     mine = [k for k in ks if below < k <= below + r["n"]]
+                    if mine and (r["low"], r["high"]) == key[1:]:
+                        raise ArithmeticError(f"the search interval of {key[0]} does not shrink: {key[1:]}")
                     if mine:
                         place(key[0], r["low"], r["high"], below, r["n"], mine)
                     below += r["n"]
@@ -134,10 +140,10 @@ def percentile_cutoffs(df, column, percents, row_limit=ROW_LIMIT):
     at = order_statistics(df, {column: set(ks.values())}, extent, row_limit)[column]
     exprs = {}
     for i, p in enumerate(percents):
-        x = F.lit(at[ks[p]])
-        exprs[f"less{i}"] = F.count_if(col(column) < x)
-        exprs[f"ties{i}"] = F.count_if(col(column) == x)
-        exprs[f"next{i}"] = F.min(F.when(col(column) > x, col(column)))
+        x, v = F.lit(at[ks[p]]), value(df, column)
+        exprs[f"less{i}"] = F.count_if(v < x)
+        exprs[f"ties{i}"] = F.count_if(v == x)
+        exprs[f"next{i}"] = F.min(F.when(v > x, v))
     got = agg_values(df, exprs)
     out = {}
     for i, p in enumerate(percents):
@@ -146,51 +152,31 @@ def percentile_cutoffs(df, column, percents, row_limit=ROW_LIMIT):
     return out
 
 
-def range_splits(df, columns, rows_per_bucket=ROWS_PER_BUCKET):
-    """{column: ascending split values} cutting each column into ranges of like size; empty for
-    columns with few distinct values. Splits only balance the work, so, as in Spark's own range
-    partitioning, a share of the distinct values (chosen by hash) is enough to place them."""
-    got = agg_values(df, {f"d{i}": F.approx_count_distinct(col(c)) for i, c in enumerate(columns)})
-    distinct = {c: got[f"d{i}"] for i, c in enumerate(columns)}
-    want = {c: min(MAX_BUCKETS, -(-distinct[c] // rows_per_bucket)) for c in columns}
-    exprs = {}
-    for i, c in enumerate(columns):
-        if want[c] > 1:
-            keep = F.pmod(F.xxhash64(col(c)), F.lit(max(1, distinct[c] // SPLIT_VALUES))) == 0
-            exprs[f"s{i}"] = F.percentile_approx(
-                F.when(keep, col(c)), [j / want[c] for j in range(1, want[c])], 2 * MAX_BUCKETS)
-    got = agg_values(df, exprs) if exprs else {}
-    return {c: sorted(set(got.get(f"s{i}") or [])) for i, c in enumerate(columns)}
-
-
-def _bucket(feature, val, splits):
-    """Number of splits below the value: a fixed function of the row, so a lost task that
-    runs again puts every row where it was."""
-    expr = F.lit(0)
-    for name, cuts in splits.items():
-        if cuts:
-            edges = F.array(*[F.lit(float(s)) for s in cuts])
-            expr = F.when(feature == name, F.size(F.filter(edges, lambda s: s < val))).otherwise(expr)
-    return expr
-
-
-def average_ranks(counts, splits):
-    """(feature, value, n) -> adds `below` (rows with smaller values), `total` and
-    `average_rank`. Ranks are running sums inside ranges of values, shifted by the sizes of
+def ranged(rows, order, count, rows_per_bucket, bucket="bucket"):
+    """The rows, written once, with the number of the range of `order` they lie in. Spark's range
+    partitioner places the borders; what it decided is stored, so later passes agree on it."""
+    parts = max(1, -(-count // rows_per_bucket))
+    return materialize(rows.repartitionByRange(parts, *order).withColumn(bucket, F.spark_partition_id()), "ranges")
+
+
+def average_ranks(counts, rows_per_bucket=ROWS_PER_BUCKET):
+    """(feature, value, n), one row per value -> adds `below` (rows with smaller values), `total`
+    and `average_rank`. Ranks are running sums inside ranges of values, shifted by the sizes of
     the ranges before; rows are already counted per value, so no range holds a hot value twice.
     Further columns of the input are kept."""
-    ranged = counts.withColumn("bucket", _bucket(F.col("feature"), F.col("value"), splits))
+    counts = materialize(counts, "counts")
+    ranges = ranged(counts, ["feature", "value"], counts.count(), rows_per_bucket)
     inside = (Window.partitionBy("feature", "bucket").orderBy("value")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = Window.partitionBy("feature").orderBy("bucket")
     whole = Window.partitionBy("feature")
-    # One row per range: at most MAX_BUCKETS per feature.
-    shift = (ranged.groupBy("feature", "bucket").agg(F.sum("n").alias("m"))
+    # One row per feature and range.
+    shift = (ranges.groupBy("feature", "bucket").agg(F.sum("n").alias("m"))
              .select("feature", "bucket",
                      (F.sum("m").over(before) - F.col("m")).alias("shift"),
                      F.sum("m").over(whole).alias("total")))
-    return (ranged.withColumn("upto", F.sum("n").over(inside))
-            .join(F.broadcast(shift), ["feature", "bucket"])
+    return (ranges.withColumn("upto", F.sum("n").over(inside))
+            .join(shift, ["feature", "bucket"])
             .withColumn("below", F.col("shift") + F.col("upto") - F.col("n"))
             .withColumn("average_rank", F.col("below") + (F.col("n") + 1) / 2)
             .drop("bucket", "upto", "shift"))
@@ -212,36 +198,36 @@ def attach_percentiles(rows, ranks):
 
 
 def percentile_ranks(df, columns, key, rows_per_bucket=ROWS_PER_BUCKET):
-    """(key, feature, value, percentile in 0..1) with average ranks for ties; NULL has none."""
-    splits = range_splits(df, columns, rows_per_bucket)
+    """(key, feature, value, percentile in 0..1) with average ranks for ties; missing values have
+    none."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"),
-                               (col(c).cast("double") + F.lit(0.0)).alias("value")) for c in columns])
+                               (value(df, c).cast("double") + F.lit(0.0)).alias("value")) for c in columns])
     rows = df.select(col(key), F.inline(pairs)).where(F.col("value").isNotNull())
-    # Both tables hold one row per distinct value and are read several times: write them once.
-    counts = materialize(rows.groupBy("feature", "value").agg(F.count("*").alias("n")), "counts")
-    return attach_percentiles(rows, materialize(average_ranks(counts, splits), "ranks"))
+    counts = rows.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    return attach_percentiles(rows, materialize(average_ranks(counts, rows_per_bucket), "ranks"))
 
 
 def dense_rank_of_scores(df, score, out):
-    """Dense rank, highest first. Scores have two decimals in 0..100, so the ranked table has
-    at most 10,001 rows: small enough for one task and for a broadcast."""
-    ranks = (df.select(score).distinct()
-             .withColumn(out, F.dense_rank().over(Window.orderBy(F.col(score).desc()))))
-    return df.join(F.broadcast(ranks), score, "left")
+    """Dense rank of the score to two decimals, highest first. Scores lie in 0..100, so the ranked
+    table has at most 10,001 rows."""
+    cents = F.round(col(score).cast("double"), 2)
+    ranks = (df.select(cents.alias("__cents")).distinct()
+             .withColumn(out, F.dense_rank().over(Window.orderBy(F.col("__cents").desc()))))
+    return df.withColumn("__cents", cents).join(ranks, "__cents", "left").drop("__cents")
 
 
 def positions(df, column, rows_per_bucket=ROWS_PER_BUCKET, out="position"):
-    """Dense row numbers 1..n over a unique, non-null numeric order column, counted inside
-    ranges of the column and shifted by the sizes of the ranges before."""
-    splits = range_splits(df, [column], rows_per_bucket)
-    if not splits[column]:  # one range holds at most rows_per_bucket rows
-        return df.withColumn(out, F.row_number().over(Window.orderBy(col(column))).cast("long"))
-    ranged = df.withColumn("__bucket", _bucket(F.lit(column), col(column).cast("double"), splits))
+    """Dense row numbers 1..n over a numeric order column, counted inside ranges of the column and
+    shifted by the sizes of the ranges before. Reading a position fails where the order column is
+    NULL or repeats a value, since the order would be undefined there."""
+    ranges = ranged(df, [col(column)], df.count(), rows_per_bucket, "__bucket")
     before = Window.orderBy("__bucket")  # over one row per range
-    shift = (ranged.groupBy("__bucket").agg(F.count("*").alias("__m"))
+    shift = (ranges.groupBy("__bucket").agg(F.count("*").alias("__m"))
              .select("__bucket", (F.sum("__m").over(before) - F.col("__m")).alias("__shift")))
     inside = Window.partitionBy("__bucket").orderBy(col(column))
-    return (ranged.withColumn("__upto", F.row_number().over(inside))
-            .join(F.broadcast(shift), "__bucket")
+    repeated = col(column).isNull() | col(column).eqNullSafe(F.lag(col(column)).over(inside))
+    return (ranges.withColumn("__upto", F.row_number().over(inside)).withColumn("__repeated", repeated)
+            .join(shift, "__bucket")
             .select(*[col(c) for c in df.columns],
-                    (F.col("__shift") + F.col("__upto")).cast("long").alias(out)))
+                    F.when(F.col("__repeated"), F.raise_error(F.lit(f"order column {column} is NULL or not unique")))
+                    .otherwise(F.col("__shift") + F.col("__upto")).cast("long").alias(out)))

@@ -104,3 +104,43 @@ def test_dense_rank(spark, sf):
     order = sorted({r["s"] for r in df.collect()}, reverse=True)
     for r in rank.dense_rank_of_scores(df, "s", "k").collect():
         assert order[r["k"] - 1] == r["s"]
+
+
+ODD = [float("inf"), float("-inf"), float("nan"), None]
+
+
+@pytest.mark.parametrize("limit", [3, 10])
+def test_infinite_and_extreme_values(spark, limit):
+    """Infinities and NaN are missing; the width of the range may exceed the largest double."""
+    xs = sorted([1e308, -1e308, 5e-324, 1e-300, 0.0] + [float(k) for k in range(60)])
+    df = spark.createDataFrame([(x,) for x in xs + ODD * 3], "x double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = rank.exact_quantiles(df, ["x"], probs, row_limit=limit)["x"]
+    assert got == pytest.approx([linear(xs, q) for q in probs], rel=1e-12)
+    ks = set(range(1, len(xs) + 1))
+    assert rank.order_statistics(df, {"x": ks}, row_limit=limit)["x"] == {k: xs[k - 1] for k in ks}
+    pct = average_rank_percentiles(xs)
+    cut = rank.percentile_cutoffs(df, "x", [50], row_limit=limit)[50]
+    assert cut == min(x for x, share in pct.items() if share >= 0.5)
+
+
+def test_ranks_skip_missing_values(spark):
+    rows = [(k, x) for k, x in enumerate([1.0, 2.0, 2.0, *ODD])]
+    got = rank.percentile_ranks(spark.createDataFrame(rows, "k int, x double"), ["x"], "k", 1).collect()
+    assert {r["k"]: r["percentile"] for r in got} == {0: pytest.approx(1 / 3), 1: pytest.approx(2.5 / 3), 2: pytest.approx(2.5 / 3)}
+
+
+@pytest.mark.parametrize("rows", [[1, 2, 2], [1, None, 3]])
+def test_positions_refuse_repeated_and_null_order(spark, rows):
+    df = spark.createDataFrame([(x,) for x in rows], "x int")
+    with pytest.raises(Exception, match="not unique"):
+        rank.positions(df, "x").collect()
+
+
+def test_auc_of_counts_beyond_bigint(spark):
+    """The counts of the rank-sum formula are multiplied as doubles."""
+    from ebbtide.operators import metrics
+    df = spark.createDataFrame([(1, 0.9), (1, 0.4), (0, 0.4), (0, 0.1)], "label int, score double")
+    assert metrics.roc_auc(df).first()["roc_auc"] == 0.875
+    plan = metrics.roc_auc(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "as double) * cast" in plan.replace("  ", " ")
