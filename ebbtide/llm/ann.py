@@ -6,9 +6,11 @@ that the nearest in the tree's space have the largest inner products. Every vect
 its leaf; leaves are cut into chunks of bounded size, so equal vectors do not pile up in one task.
 
 A query walks the tree best bin first: a priority queue holds the nodes met so far by distance, the
-nearest is opened, and leaves come out in the order in which they are visited. How many leaves are
-visited is calibrated: for some sample vectors the true neighbours are found among all vectors by a
-blocked pass, and visits are widened until the wanted share of them lies in the visited leaves.
+nearest is opened, and leaves come out in the order in which they are visited. The sample vectors in
+those leaves give a lower bound of the query's k-th best score there, so that chunks hand on only
+what can still be among the k best. How many leaves are visited is calibrated: for some sample vectors
+the true neighbours are found among all vectors by a blocked pass, and visits are widened until the
+wanted share of them lies in the visited leaves.
 """
 
 import heapq
@@ -44,10 +46,11 @@ def nearest(rows, centres):
 class Tree:
     """Nodes as (centres, children); a child is a node number or, below zero, a leaf."""
 
-    def __init__(self, rows, leaf_rows, branches, seed=3):
+    def __init__(self, rows, ids, leaf_rows, branches, seed=3):
         self.radius = float(np.linalg.norm(rows, axis=1).max(initial=0))
         self.width, self.nodes, self.leaves = rows.shape[1], [], 0
         self.root = self.grow(self.lifted(rows), max(leaf_rows, 2), branches, np.random.default_rng(seed))
+        self.rows, self.ids, self.homes = rows, ids, self.leaf(rows)
 
     def lifted(self, rows):
         """Rows with one more component, which fills their norm up to the radius."""
@@ -80,6 +83,17 @@ class Tree:
                 todo += [(child, at[own == c]) for c, child in enumerate(children)]
         return out
 
+    def bounds(self, ids, queries, visited, k):
+        """For each query a value that its k-th best score in the visited leaves does not fall below."""
+        inside = np.zeros((len(queries), self.leaves), bool)
+        for row, leaves in zip(inside, visited):
+            row[leaves] = True
+        scores = np.where(inside[:, self.homes] & (ids[:, None] != self.ids), queries @ self.rows.T, -np.inf)
+        if scores.shape[1] < k:
+            return np.full(len(queries), -np.inf)
+        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        return np.where(np.isfinite(kth), kth - 1e-9 * abs(kth), kth)
+
     def visits(self, query, most):
         """The first `most` leaves in best-bin-first order."""
         q, out = np.append(query, 0.0), []
@@ -138,24 +152,30 @@ def calibrated(tree, indexed, rows, ids, k, recall):
     return needed[min(int(np.ceil(recall * len(needed))), len(needed)) - 1] if needed else tree.leaves
 
 
-def visited(queries, shared, visits):
-    """(leaf, query_id, embedding) for every leaf that a query visits."""
+def visited(queries, shared, visits, k):
+    """(leaf, query_id, bound, embedding) for every leaf that a query visits."""
     def run(batches):
         tree = received(shared)
         for batch in batches:
-            leaves = [tree.visits(q, visits) for q in matrix(batch.column(1), tree.width, np.float64)]
-            rows = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([leaf for x in leaves for leaf in x], pa.int32()), *(c.take(pa.array(rows)) for c in batch.columns)],
-                ["leaf", "query_id", "embedding"])
-    return queries.mapInArrow(run, f"leaf int, query_id long, {queries.select('embedding').schema.simpleString()[7:-1]}")
-
-
-def chunked(rows, key, size, name):
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                vectors = matrix(part.column(1), tree.width, np.float64)
+                leaves = [tree.visits(q, visits) for q in vectors]
+                bounds = pa.array(tree.bounds(part.column(0).to_numpy(), vectors, leaves, k))
+                rows = pa.array(np.repeat(np.arange(len(leaves)), [len(x) for x in leaves]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([leaf for x in leaves for leaf in x], pa.int32()),
+                     *(c.take(rows) for c in (part.column(0), bounds, part.column(1)))],
+                    ["leaf", "query_id", "bound", "embedding"])
+    return queries.mapInArrow(
+        run, f"leaf int, query_id long, bound double, {queries.select('embedding').schema.simpleString()[7:-1]}")
+
+
+def chunked(rows, key, size, name, *more):
     """Rows of each leaf packed into lists of about `size`; large leaves are dealt by hash."""
     counts = rows.groupBy("leaf").agg(F.ceil(F.count("*") / size).alias("chunks"))
     return (rows.join(counts, "leaf").withColumn("chunk", F.pmod(F.xxhash64(key), "chunks"))
-            .groupBy("leaf", "chunk").agg(F.collect_list(F.struct(F.col(key).alias("id"), "embedding")).alias(name))
+            .groupBy("leaf", "chunk").agg(F.collect_list(F.struct(F.col(key).alias("id"), "embedding", *more)).alias(name))
             .drop("chunk"))
 
 
@@ -164,10 +184,10 @@ def compared(pairs, width, k):
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                (own, q), (ids, x) = (unpacked(batch.column(c), row, width) for c in (0, 1))
+                (own, q, bound), (ids, x) = (unpacked(batch.column(c), row, width) for c in (0, 1))
                 scores = np.where(own[:, None] != ids, q @ x.T, -np.inf)
                 least = np.take_along_axis(scores, best(scores, k), axis=1).min(axis=1, keepdims=True)
-                query, place = np.nonzero((scores >= least) & np.isfinite(scores))
+                query, place = np.nonzero((scores >= np.maximum(least, bound[:, None])) & np.isfinite(scores))
                 kept = leading(query, ids[place], scores[query, place], k)
                 query, place = query[kept], place[kept]
                 yield found_rows(own[query], ids[place], scores[query, place], pa.float64())
@@ -176,7 +196,8 @@ def compared(pairs, width, k):
 
 def unpacked(column, row, width):
     part = column.slice(row, 1).flatten()
-    return part.field(0).to_numpy(), matrix(part.field(1), width, np.float64)
+    rest = [part.field(n).to_numpy() for n in range(2, part.type.num_fields)]
+    return part.field(0).to_numpy(), matrix(part.field(1), width, np.float64), *rest
 
 
 def search(embeddings, every=20, k=20, recall=0.96, sample=16_384, leaf_rows=512, branches=16, trials=96):
@@ -192,11 +213,11 @@ def search(embeddings, every=20, k=20, recall=0.96, sample=16_384, leaf_rows=512
     rows, ids = np.zeros((len(picked), size[1])), np.array([r.vec_id for r in picked], np.int64)
     for n, r in enumerate(picked):
         rows[n, :len(r.embedding)] = r.embedding
-    tree = Tree(rows, max(len(picked) * leaf_rows // size[0], 8), branches)
+    tree = Tree(rows, ids, max(len(picked) * leaf_rows // size[0], 8), branches)
     shared = broadcast(spark, tree)
     indexed = materialize(index(vectors, shared), "leaves")
     visits = calibrated(tree, indexed, rows[:trials], ids[:trials], k, recall)
-    queries = visited(vectors.where(F.col("vec_id") % every == 0), shared, visits)
-    pairs = chunked(materialize(queries, "visits"), "query_id", QUERIES, "queries").join(
+    queries = visited(vectors.where(F.col("vec_id") % every == 0), shared, visits, k)
+    pairs = chunked(materialize(queries, "visits"), "query_id", QUERIES, "queries", "bound").join(
         chunked(indexed, "vec_id", CHUNK, "items"), "leaf")
     return ranked(compared(pairs, size[1], k), k)

@@ -92,7 +92,17 @@ def test_tree_search_with_few_or_no_rows(spark):
 
 def test_visits_are_best_first():
     rows = np.random.default_rng(0).normal(size=(800, 6))
-    tree = ann.Tree(rows, 50, 4)
+    tree = ann.Tree(rows, np.arange(800), 50, 4)
     order = tree.visits(rows[0], tree.leaves)
     assert sorted(order) == list(range(tree.leaves)) and order[:3] == tree.visits(rows[0], 3)
     assert set(tree.leaf(rows)) <= set(range(tree.leaves))
+
+
+def test_bounds_hold():
+    """No bound lies above the k-th best score among the vectors in the visited leaves."""
+    rows, ids = np.random.default_rng(1).normal(size=(600, 5)), np.arange(600)
+    tree = ann.Tree(rows, ids, 40, 4)
+    visits = [tree.visits(q, 4) for q in rows[:50]]
+    for q, leaves, bound in zip(range(50), visits, tree.bounds(ids[:50], rows[:50], visits, 7)):
+        inside = [rows[i] @ rows[q] for i in ids if i != q and tree.homes[i] in leaves]
+        assert bound <= sorted(inside)[-7] if len(inside) >= 7 else bound == -np.inf
