@@ -32,6 +32,22 @@ def contains_alias(name, aliases, min_length=4):
     return False
 
 
+def name_words(name):
+    """Words of a name, split at signs, spaces and changes from lower to upper case."""
+    return re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", str(name)).lower())
+
+
+def contains_words(name, aliases, min_length=4):
+    """The alias is a run of the name's words, or the name a run of the alias's words."""
+    own = name_words(name)
+    for alias in map(name_words, aliases):
+        inner, outer = sorted((own, alias), key=len)
+        runs = (outer[k:k + len(inner)] for k in range(len(outer) - len(inner) + 1))
+        if len("".join(inner)) >= min_length and inner in runs:
+            return True
+    return False
+
+
 def match_column(columns, aliases, produced=fixed.PRODUCED_COLUMNS):
     """Exact match first, then containment over the columns that scoring did not write."""
     exact = find_column(columns, aliases)

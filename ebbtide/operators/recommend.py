@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ebbtide.functions import fixed
-from ebbtide.functions.columns import clip, col, money_sum, number, number_or_zero
+from ebbtide.functions.columns import clip, col, exact, money_sum, number, number_or_zero
 from ebbtide.functions.names import find_column, role
 from ebbtide.operators.risk import _level_counts
 from ebbtide.operators.stats import sentences
@@ -85,7 +85,7 @@ def business_summary(df):
         F.count("*").alias("total_customers"),
         *[levels[k].alias(n) for k, n in (("critical", "critical_customers"), ("high", "high_risk_customers"),
                                           ("medium", "medium_risk_customers"), ("low", "low_risk_customers"))],
-        F.max(x).alias("__max"), F.sum(exposure).alias("__m"),
+        F.max(x).alias("__max"), F.sum(exact(exposure, 10)).cast("double").alias("__m"),
         money_sum(number_or_zero(df, role(df.columns, "revenue_at_risk"))).alias("__r"),
         F.avg(x).alias("__p"), F.avg(number_or_zero(df, score)).alias("__s"))
 

@@ -40,7 +40,7 @@ class BehaviorProfile(Profile):
 
 def fit_behavior(df):
     columns = input_columns(df.columns)
-    skip = [c for c in (detect_target(columns), detect_customer_id(columns)) if c]
+    skip = [c for c in (detect_target(columns, df), detect_customer_id(columns)) if c]
     families = signal_columns(columns, skip)
     chosen = [(f, c) for f in fixed.BEHAVIOR_WEIGHTS for c in families[f]]
     if not chosen:

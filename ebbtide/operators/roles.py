@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import fixed
 from ebbtide.functions.columns import category_columns, col, missing, numeric_columns, value
-from ebbtide.functions.names import find_column, match_column, match_columns, plain
+from ebbtide.functions.names import (
+    contains_words, find_column, match_column, match_columns, name_words, plain)
 from ebbtide.session import materialize
 
 
@@ -24,11 +25,28 @@ def input_columns(columns):
     return [c for c in columns if plain(c) not in made]
 
 
-def detect_target(columns):
-    """Label column by alias, then by keyword."""
-    hit = match_column(columns, fixed.SIGNAL_ALIASES["target"])
-    return hit or next((c for c in input_columns(columns)
-                        if any(k in plain(c) for k in fixed.TARGET_KEYWORDS)), None)
+def two_valued(df, name):
+    """Whether the column holds exactly two different values, the rows without one aside."""
+    v = value(df, name)
+    low, high = df.agg(F.min(v), F.max(v)).first()
+    if low is None or low == high:
+        return False
+    return df.where((v != F.lit(low)) & (v != F.lit(high))).isEmpty()
+
+
+def detect_target(columns, df=None):
+    """Label column by exact alias, then by an alias or keyword among the words of its name. A
+    column that exactly names another role is no label, and with the data at hand a column
+    found by part of its name only counts if it holds two values."""
+    exact = find_column(columns, fixed.SIGNAL_ALIASES["target"])
+    if exact is not None:
+        return exact
+    other = {plain(a) for family, aliases in fixed.SIGNAL_ALIASES.items() if family != "target" for a in aliases}
+    free = [c for c in input_columns(columns) if plain(c) not in other]
+    found = [c for c in free if contains_words(c, fixed.SIGNAL_ALIASES["target"])]
+    found += [c for c in free if c not in found
+              and any(w.startswith(k) for w in name_words(c) for k in fixed.TARGET_KEYWORDS)]
+    return next((c for c in found if df is None or two_valued(df, c)), None)
 
 
 def detect_customer_id(columns):
@@ -54,8 +72,8 @@ def has_features(columns, features):
     return bool(features) and set(features) <= set(columns)
 
 
-def scoring_mode(columns):
-    return fixed.MODE_ADAPTIVE if detect_target(columns) else fixed.MODE_BEHAVIOR
+def scoring_mode(columns, df=None):
+    return fixed.MODE_ADAPTIVE if detect_target(columns, df) else fixed.MODE_BEHAVIOR
 
 
 def _text_or_null(x):
@@ -82,7 +100,7 @@ def analyze_dataset(df):
     whole = materialize(whole.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__n")), "rows")
     copies = whole.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long")).scalar()
     cleaned = scoring_clean(whole.drop("__n"))
-    target, numbers = detect_target(cleaned.columns), numeric_columns(cleaned)
+    target, numbers = detect_target(cleaned.columns, cleaned), numeric_columns(cleaned)
     gaps = sum((missing(cleaned, c).cast("long") for c in cleaned.columns), F.lit(0).cast("long"))
     return cleaned.agg(
         F.count("*").alias("rows"), F.lit(len(cleaned.columns)).cast("long").alias("columns"),
@@ -91,5 +109,5 @@ def analyze_dataset(df):
         F.lit(len(numbers)).cast("long").alias("numeric_columns"),
         F.lit(len(cleaned.columns) - len(numbers)).cast("long").alias("categorical_columns"),
         F.coalesce(F.sum(gaps), F.lit(0)).cast("long").alias("missing_values"),
-        F.lit(scoring_mode(cleaned.columns)).alias("prediction_mode")
+        F.lit(fixed.MODE_ADAPTIVE if target else fixed.MODE_BEHAVIOR).alias("prediction_mode")
     ).withColumn("duplicate_rows", copies)

@@ -6,6 +6,7 @@ a compact table and survive the loss of executors.
 
 import math
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -114,8 +115,9 @@ def run_training(df, key=None, candidates=None, cross_validation=True):
     return models[best["model"]], results
 
 
-def train_adaptive(df, target, key=None, trees=250, max_depth=12, min_rows=20):
-    """Model from a table's own labels: balanced forest, logistic regression if that fails. None
+def train_adaptive(df, target, key=None, trees=250, max_depth=30, min_rows=20):
+    """Model from a table's own labels: balanced forest of the greatest
+    depth Spark has, logistic regression if the forest refuses the features (the metadata say why). None
     when there are fewer than 20 labelled rows or one class only."""
     rows = X.adaptive_rows(df, target)
     sizes = X.class_sizes(rows)
@@ -137,11 +139,13 @@ def train_adaptive(df, target, key=None, trees=250, max_depth=12, min_rows=20):
         "categorical_features": [c for c in names if c in category_columns(rows)]}
     prep, matrix = prepared(train, metadata)
     n = matrix.count()
+    reason = None
     try:
         fitted, kind = random_forest(n, trees, max_depth).fit(matrix), "Random Forest"
-    except Exception:  # e.g. out of memory on very wide one-hot features
+    except IllegalArgumentException as error:  # e.g. more categories than a tree can bin
+        reason = str(error)
         fitted, kind = logistic_regression(n, max_iter=1000).fit(matrix), "Logistic Regression"
     auc = roc_auc(materialize(score_rows(fitted, prep.transform(test)), "scores")).first()
-    metadata.update(model_type=kind, training_rows=n, test_rows=test.count(),
+    metadata.update(model_type=kind, forest_refused=reason, training_rows=n, test_rows=test.count(),
                     roc_auc=auc["roc_auc"] if auc else None)
     return TrainedModel(PipelineModel([*prep.stages, fitted]), fixed.MODE_ADAPTIVE, metadata, df.sparkSession)

@@ -49,3 +49,30 @@ def materialize(df, name="step"):
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark, path):
+    """(Hadoop file system, path) of any store that Spark reaches."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def write_file(spark, path, data):
+    """Bytes to a file, whole or not at all."""
+    fs, place = file_system(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+    out = fs.create(draft)
+    out.write(bytearray(data))
+    out.close()
+    fs.rename(draft, place)
+
+
+def list_files(spark, folder):
+    """Names in a folder, none if it does not exist."""
+    fs, place = file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def drop_path(spark, path):
+    fs, place = file_system(spark, path)
+    fs.delete(place, True)

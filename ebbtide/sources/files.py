@@ -5,13 +5,10 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import col
 
-REPLACEMENT = "�"
-
-
 def read_dataset(spark, path, encoding=None, multiline=False):
     """Read a CSV file or folder with a header. Without a given encoding the text is read as
-    UTF-8, one job looks for bytes that are not, and then ISO-8859-1, which accepts any byte,
-    is used. `multiline` allows line breaks inside quotes but keeps files from being split."""
+    UTF-8; if one job finds a line whose bytes are not UTF-8, the file is read as ISO-8859-1, which
+    accepts any byte. `multiline` allows line breaks inside quotes but keeps files from being split."""
     path = str(path)
     kind = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)
     if len(kind) == 2 and kind[1].lower() in ("xls", "xlsx"):
@@ -26,14 +23,9 @@ def read_dataset(spark, path, encoding=None, multiline=False):
                                                 escape='"', inferSchema=False), path)
     if encoding:
         return read(encoding)
-    df = read("UTF-8")
-    if not df.columns:
-        return df
-    broken = any(REPLACEMENT in c for c in df.columns)
-    if not broken:
-        hits = [F.coalesce(F.contains(col(c), F.lit(REPLACEMENT)), F.lit(False)) for c in df.columns]
-        broken = not df.where(F.array_contains(F.array(*hits), True)).isEmpty()
-    return read("ISO-8859-1") if broken else df
+    lines = _existing(lambda: spark.read.text(path), path)
+    odd = lines.where(~F.is_valid_utf8(F.col("value").cast("binary").cast("string")))
+    return read("UTF-8" if odd.isEmpty() else "ISO-8859-1")
 
 
 def _existing(read, path):

@@ -1,18 +1,22 @@
 """The customer table: fixed columns, unique customer id, insert and upsert.
 
-Inserts and upserts are joins that produce the next snapshot. A snapshot is a new bucketed
-table; a view of the table's name is pointed at it, so readers never see a half-written table
-and nothing is overwritten while it is read.
+Rows lie in folders by a hash bucket of their id. An upsert rewrites the buckets that its batch touches,
+an insert only adds files. Finished files come into force by a small pointer file that names, for each
+bucket, the versions that hold it; so readers never see a half-written table, nothing is overwritten
+while it is read, and the table outlives the session. Versions that neither the current nor the
+previous pointer names are dropped.
 """
 
-import uuid
+import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbtide.functions.columns import col, is_text, number
 from ebbtide.functions.names import find_column
-from ebbtide.session import new_path
+from ebbtide.operators.rank import ROWS_PER_BUCKET, ranged
+from ebbtide.session import drop_path, list_files, materialize, shared_folder, write_file
 
 TEXT, MONEY, SCORE = T.StringType(), T.DecimalType(12, 2), T.DecimalType(8, 2)
 
@@ -50,8 +54,9 @@ SCHEMA = T.StructType(
 
 
 def batch_rows(df, order=None, skip_blank=True):
-    """Input rows in table form with their ordinal `seq`. Rows without an id, and rows whose
-    text cannot be stored in a number column, are left out."""
+    """Input rows in table form with their ordinal `seq`, and `rejected` for rows with a number that
+    is unreadable or does not fit its column. Rows without an id are left out if asked for. Copies
+    of one order value are told apart by `tie`, a hash of the row."""
     key = find_column(df.columns, ["customer_id"])
     if key is None:
         raise ValueError(f"no customer id column among {df.columns}")
@@ -65,89 +70,145 @@ def batch_rows(df, order=None, skip_blank=True):
         elif t == TEXT:
             values.append(col(name).cast("string").alias(c))
         else:
-            x = number(df, name)
-            x = F.round(x, t.scale if isinstance(t, T.DecimalType) else 0)
-            values.append(x.try_cast(t).alias(c))
-            if is_text(df, name):
-                bad = bad | (col(name).isNotNull() & x.isNull())
+            x = F.round(number(df, name), t.scale if isinstance(t, T.DecimalType) else 0).try_cast(t)
+            values.append(x.alias(c))
+            given = col(name) if is_text(df, name) else number(df, name)
+            bad = bad | (given.isNotNull() & x.isNull())
     seq = col(order).cast("long") if order else F.monotonically_increasing_id()
     rows = df.withColumns({"__seq": seq, "__bad": bad, "__id": F.trim(col(key).cast("string"))})
-    rows = rows.where(~F.col("__bad"))
     if skip_blank:
         rows = rows.where(F.col("__id") != "")
-    return rows.select(F.col("__seq").alias("seq"), F.col("__id").alias("customer_id"), *values)
-
-
-def _next_id(current):
-    return F.coalesce(current.agg(F.max("id")).scalar(), F.lit(0))
-
-
-def upsert(current, df, order=None):
-    """Next snapshot: known ids get every column of their last input row, even its NULLs, and
-    keep id and created_at; new ids are added with increasing ids (gaps are possible). The last
-    row per id is a partial aggregate, so an id that fills the batch still combines map-side."""
-    rows = batch_rows(df, order)
-    latest = rows.groupBy("customer_id").agg(
-        F.max_by(F.struct(*COLUMNS), "seq").alias("new"), F.min("seq").alias("first_seq"))
-    base = _next_id(current)
-    # Rows without an id match nothing; joined, they would all meet in one task.
-    anonymous = current.where(F.col("customer_id").isNull())
-    joined = current.where(F.col("customer_id").isNotNull()).join(latest, "customer_id", "full_outer")
-    return joined.select(
-        F.coalesce(F.col("id"), base + F.col("first_seq") + 1).alias("id"), "customer_id",
-        *[F.when(F.col("new").isNotNull(), F.col("new")[c]).otherwise(col(c)).alias(c) for c in COLUMNS],
-        F.coalesce(F.col("created_at"), F.current_timestamp()).alias("created_at")).unionByName(anonymous)
-
-
-def insert_only(current, df, order=None):
-    """Rows of the batch whose id is new, in table form. Of several rows with one id the first
-    is taken; rows without an id never clash."""
-    rows = batch_rows(df, order, skip_blank=False)
-    named = rows.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
-        F.min_by(F.struct("seq", *COLUMNS), "seq").alias("r")).select("customer_id", "r.*")
-    fresh = named.join(current.select("customer_id"), "customer_id", "left_anti")
-    fresh = fresh.unionByName(rows.where(F.col("customer_id").isNull()))
-    return fresh.select((_next_id(current) + F.col("seq") + 1).alias("id"), "customer_id", *COLUMNS,
+    rows = rows.select(F.col("__seq").alias("seq"), F.col("__bad").alias("rejected"),
+                       F.col("__id").alias("customer_id"), *values)
+    return rows.withColumn("tie", F.xxhash64(*COLUMNS))
+
+
+def last_rows(rows):
+    """(customer_id, new, first_seq): the last row of each id. A partial aggregate, so an id that
+    fills the batch still combines map-side."""
+    return rows.groupBy("customer_id").agg(
+        F.max_by(F.struct(*COLUMNS), F.struct("seq", "tie")).alias("new"), F.min("seq").alias("first_seq"))
+
+
+def first_rows(rows):
+    return rows.groupBy("customer_id").agg(
+        F.min_by(F.struct(*COLUMNS), F.struct("seq", "tie")).alias("new"), F.min("seq").alias("first_seq"))
+
+
+def numbered(fresh, base, rows_per_range=ROWS_PER_BUCKET):
+    """(number of rows, fresh with id): base + 1, base + 2, ... in the order of first_seq and
+    customer_id, counted inside ranges and shifted by the sizes of the ranges before."""
+    fresh = materialize(fresh, "fresh")
+    n = fresh.count()
+    rows = ranged(fresh, ["first_seq", "customer_id"], n, rows_per_range)
+    shift = (rows.groupBy("bucket").agg(F.count("*").alias("m"))
+             .select("bucket", (F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).alias("shift")))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("first_seq", "customer_id"))
+    return n, (rows.withColumn("within", within).join(shift, "bucket")
+               .withColumn("id", F.lit(base) + F.col("shift") + F.col("within")).drop("bucket", "shift", "within"))
+
+
+def updated(current, latest):
+    """Known customers with every column of their last input row, even its NULLs; id and created_at
+    stay. The table side is a plain scan when the batch is small enough to be broadcast."""
+    joined = current.join(latest, "customer_id", "left")
+    return joined.select("id", "customer_id", *[
+        F.when(F.col("new").isNotNull(), F.col("new")[c]).otherwise(col(c)).alias(c) for c in COLUMNS], "created_at")
+
+
+def in_table_form(fresh):
+    return fresh.select("id", "customer_id", *[F.col("new")[c].alias(c) for c in COLUMNS],
                         F.current_timestamp().alias("created_at"))
 
 
 class CustomerTable:
-    """A named customer table in the session catalog, stored in the shared folder."""
+    """A named customer table in a folder that all executors reach."""
 
-    def __init__(self, spark, name="customers", buckets=None):
-        self.spark, self.name = spark, name
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark, name="customers", buckets=16, folder=None):
+        self.spark, self.buckets = spark, buckets
+        self.folder = folder or f"{shared_folder(spark)}/{name}"
+        self.rejected = 0
 
     def create(self):
-        if not self.spark.catalog.tableExists(self.name):
-            self._replace(self.spark.createDataFrame([], SCHEMA))
+        if not self._pointers():
+            self._commit({}, 0, 0)
         return self
 
-    def read(self):
-        return self.spark.table(self.name)
-
-    def _replace(self, rows):
-        # Bucketed by id: the next upsert joins the table where it lies and shuffles the batch only.
-        # Rows without an id are spread by their number; a NULL second key leaves the others' place.
-        snapshot = f"{self.name}_{uuid.uuid4().hex[:12]}"
-        spread = F.when(F.col("customer_id").isNull(), F.col("id"))
-        (rows.select(*SCHEMA.fieldNames()).repartition(self.buckets, "customer_id", spread)
-         .write.bucketBy(self.buckets, "customer_id").sortBy("customer_id")
-         .option("path", new_path(self.spark, snapshot)).saveAsTable(snapshot, format="parquet"))
-        self.spark.sql(f"CREATE OR REPLACE VIEW {self.name} AS SELECT * FROM {snapshot}")
+    def _pointers(self):
+        return [f for f in list_files(self.spark, self.folder) if f.endswith(".json")]
+
+    def _state(self, name=None):
+        name = name or self._pointers()[-1]
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/{name}").collect()))
+
+    def _commit(self, parts, last_id, version):
+        state = {"parts": parts, "last_id": last_id, "version": version}
+        write_file(self.spark, f"{self.folder}/pointer-{version:09d}.json", json.dumps(state).encode())
+        *old, _, _ = [None, None, *self._pointers()]
+        held = {f"v{v}" for p in self._pointers()[-2:] for vs in self._state(p)["parts"].values() for v in vs}
+        for name in [*filter(None, old), *list_files(self.spark, self.folder)]:
+            if name in old or (name.startswith("v") and name not in held and int(name[1:]) < version):
+                drop_path(self.spark, f"{self.folder}/{name}")
+
+    def _bucket(self):
+        """Bucket of a row; rows without an id are spread by their number."""
+        return F.pmod(F.coalesce(F.xxhash64(F.nullif("customer_id", F.lit(""))), F.lit(0))
+                      + F.when(F.col("customer_id").isNull(), F.col("id")).otherwise(0), F.lit(self.buckets)).cast("int")
+
+    def read(self, only=None):
+        """The table, or the given buckets of it."""
+        parts = self._state()["parts"]
+        paths = [f"{self.folder}/v{v}/bucket={b}" for b, vs in parts.items() if only is None or int(b) in only for v in vs]
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(*paths)
+
+    def _store(self, rows, state, replaced, added):
+        """Write rows as the next version; the replaced buckets are held by it alone."""
+        version = state["version"] + 1
+        path = f"{self.folder}/v{version}"
+        (rows.select(*SCHEMA.fieldNames()).withColumn("bucket", self._bucket())
+         .write.mode("overwrite").partitionBy("bucket").parquet(path))
+        here = [int(f.split("=")[1]) for f in list_files(self.spark, path) if f.startswith("bucket=")]
+        parts = {b: vs for b, vs in state["parts"].items() if int(b) not in replaced}
+        for b in here:
+            parts[str(b)] = [*parts.get(str(b), []), version]
+        self._commit(parts, state["last_id"] + added, version)
+
+    def _batch(self, df, order, skip_blank=True):
+        """Accepted rows, written once; how many there are."""
+        rows = materialize(batch_rows(df, order, skip_blank), "batch")
+        self.rejected, accepted = rows.agg(F.count_if("rejected"), F.count_if(~F.col("rejected"))).first()
+        return rows.where(~F.col("rejected")), accepted
+
+    def _touched(self, rows):
+        ids = rows.where("customer_id IS NOT NULL").select("customer_id", F.lit(0).alias("id"))
+        return {r[0] for r in ids.select(self._bucket()).distinct().collect()}  # at most one row per bucket
 
     def save(self, df, order=None):
-        """Upsert a table of customers; returns how many input rows were stored."""
-        stored = batch_rows(df, order).count()
-        self._replace(upsert(self.read(), df, order))
-        return stored
+        """Upsert a table of customers; returns how many input rows were stored. The number of
+        rejected rows is left in `rejected`."""
+        rows, accepted = self._batch(df, order)
+        state, latest = self._state(), materialize(last_rows(rows), "latest")
+        touched = self._touched(latest)
+        current = self.read(touched)
+        fresh = latest.join(current.select("customer_id"), "customer_id", "left_anti")
+        added, fresh = numbered(fresh, state["last_id"])
+        self._store(updated(current, latest).unionByName(in_table_form(fresh)), state, touched, added)
+        return accepted
 
     def insert(self, df, order=None):
-        """Add new customers; returns how many were added."""
-        added = insert_only(self.read(), df, order)
-        before = self.count()
-        self._replace(self.read().unionByName(added))
-        return self.count() - before
+        """Add new customers; returns how many were added. Of several rows with one id the first is
+        taken; rows without an id never clash. Only new files are written."""
+        rows, _ = self._batch(df, order, skip_blank=False)
+        state, named = self._state(), materialize(first_rows(rows.where("customer_id IS NOT NULL")), "first")
+        fresh = named.join(self.read(self._touched(named)).select("customer_id"), "customer_id", "left_anti")
+        anonymous = rows.where("customer_id IS NULL").select(
+            "customer_id", F.struct(*COLUMNS).alias("new"), F.col("seq").alias("first_seq"))
+        added, fresh = numbered(fresh.unionByName(anonymous), state["last_id"])
+        if added:
+            self._store(in_table_form(fresh), state, (), added)
+        return added
 
     def newest(self, limit=1000):
         return self.read().orderBy(F.desc("id")).limit(int(limit))
@@ -156,4 +217,5 @@ class CustomerTable:
         return self.read().count()
 
     def clear(self):
-        self._replace(self.read().limit(0))
+        state = self._state()
+        self._commit({}, state["last_id"], state["version"] + 1)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.plans import scoring
-from ebbtide.session import new_path
+from ebbtide.session import materialize, new_path
 from ebbtide.sources import files, models, store
 from ebbtide.streaming.scoring import score_stream, upsert_stream
 from workload.views import customer_360, stored, unlabelled
@@ -71,20 +71,57 @@ def test_insert_rejects_known_ids(spark, customers):
     assert customers.count() == 0 and len(customers.read().columns) == 27
 
 
-def test_table_side_of_an_upsert_is_not_shuffled(spark, customers):
-    customers.save(batch(spark, [(0, "A", "1", "x")]), "seq")
-    # The two sides are tiny, so a broadcast would be chosen; large tables cannot be broadcast.
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        plan = store.upsert(customers.read(), batch(spark, [(0, "A", "1", "x")]), "seq")
-        text = plan._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    join = text[text.index("Join"):]
-    assert join.count("Exchange hashpartitioning(customer_id") == 1, text
+def test_a_small_upsert_scans_touched_buckets_only(spark, customers):
+    customers.save(batch(spark, [(k, f"C{k}", "1", "x") for k in range(200)]), "seq")
+    before = customers._state()["parts"]
+    latest = materialize(store.last_rows(store.batch_rows(batch(spark, [(0, "C7", "9", "x")]), "seq")))
+    plan = store.updated(customers.read({3}), latest)._jdf.queryExecution().executedPlan().toString()
+    table_side = plan[plan.index("Join"):].split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in table_side
+    customers.save(batch(spark, [(0, "C7", "9", "x")]), "seq")
+    after = customers._state()["parts"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    customers.insert(batch(spark, [(0, "New", "9", "x")]), "seq")
+    assert sum(len(v) for v in customers._state()["parts"].values()) == len(after) + 1
+    assert customers.count() == 201
+
+
+def test_ids_are_dense_and_unique(spark, customers):
+    customers.save(batch(spark, [(5, "A", "1", "x"), (5, "B", "1", "x"), (-3, "C", "1", "x")]), "seq")
+    customers.save(batch(spark, [(5, "D", "1", "x"), (5, "A", "1", "x"), (5, "E", "2", "x")]), "seq")
+    assert {r["customer_id"]: r["id"] for r in customers.read().collect()} == {"C": 1, "A": 2, "B": 3, "D": 4, "E": 5}
+
+
+def test_numbers_that_do_not_fit_are_rejected(spark, customers):
+    rows = spark.createDataFrame([("A", "99999999999999", 1.0), ("B", "5.5", 1e30), ("C", "7", 2.0), ("D", None, None)],
+                                 "customerID string, TotalCharges string, MonthlyCharges double")
+    assert customers.save(rows) == 2 and customers.rejected == 2
+    assert sorted(r["customer_id"] for r in customers.read().collect()) == ["C", "D"]
+
+
+def test_table_outlives_its_object_and_drops_old_versions(spark, customers):
+    for k in range(4):
+        customers.save(batch(spark, [(0, "A", str(k), "x")]), "seq")
+    again = store.CustomerTable(spark, folder=customers.folder).create()
+    assert [r["tenure"] for r in again.read().collect()] == [3]
+    from ebbtide.session import list_files
+    assert list_files(spark, customers.folder) == ["pointer-000000003.json", "pointer-000000004.json", "v3", "v4"]
+
+
+def test_replacement_character_is_valid_utf8(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id,t\n1,é\ufffd\n".encode())
+    (tmp_path / "b.csv").write_bytes("id,t\n1,é\n".encode("latin-1"))
+    assert files.read_dataset(spark, tmp_path / "a.csv").first()["t"] == "é\ufffd"
+    assert files.read_dataset(spark, tmp_path / "b.csv").first()["t"] == "é"
+
+
+def test_targets_are_labels(spark):
+    from ebbtide.operators.roles import detect_target
+    assert detect_target(["customer_id", "days_inactive", "login_count"]) is None
+    assert detect_target(["customer_id", "left"]) == "left" and detect_target(["Inactive"]) == "Inactive"
+    df = spark.createDataFrame([(1, 4, "a"), (2, 9, "b"), (3, 1, "a")], "id int, days_since_left_page int, customer_left_flag string")
+    assert detect_target(df.columns) == "days_since_left_page"
+    assert detect_target(df.columns, df) == "customer_left_flag"
 
 
 def test_no_saved_model(spark):
