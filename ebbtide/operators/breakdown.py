@@ -318,19 +318,22 @@ def metrics_long(df, metrics=tuple(fixed.METRIC_ORDER_DASHBOARD), model="model")
 
 
 def one_hot(df, columns, levels):
-    """0/1 columns `<column>_<level>`; levels come from a bounded distinct list per column."""
+    """0/1 columns `<column>_<level>` for the given levels of each column."""
     rest = [c for c in df.columns if c not in columns]
     return df.select(*[col(c) for c in rest], *[
         F.coalesce((col(c).cast("string") == v).cast("int"), F.lit(0)).alias(f"{c}_{v}")
         for c in columns for v in levels[c]])
 
 
-def distinct_levels(df, columns, limit=1000):
-    """{column: sorted distinct text}; refuses columns with more levels than a table can have
-    columns rather than cutting the list."""
-    size = agg_values(df, {f"d{i}": F.approx_count_distinct(col(c)) for i, c in enumerate(columns)})
-    wide = [c for i, c in enumerate(columns) if size[f"d{i}"] > limit]
-    if wide:
-        raise ValueError(f"too many levels for one-hot columns: {wide}")
+def one_hot_long(df, columns, key):
+    """(key, feature) with feature `<column>_<level>`: one row where the wide form has a 1. For any
+    number of levels."""
+    return (long_form(df, columns, [key]).where(F.col("value").isNotNull())
+            .select(col(key), F.concat_ws("_", "feature", "value").alias("feature")))
+
+
+def distinct_levels(df, columns):
+    """{column: sorted distinct text}. The wide form has a column per level; what does not fit a table
+    has the long form."""
     rows = long_form(df, columns).where(F.col("value").isNotNull()).distinct().collect() if columns else []
     return {c: sorted(r["value"] for r in rows if r["feature"] == c) for c in columns}

@@ -5,6 +5,7 @@ a compact table and survive the loss of executors.
 """
 
 import math
+from multiprocessing.pool import ThreadPool
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
@@ -26,11 +27,25 @@ RESULT_SCHEMA = ("model string, " + ", ".join(f"{m} double" for m in METRICS)
                  + ", ".join(f"{c} long" for c in COUNTS) + ", status string")
 
 
+ROWS_PER_PARTITION = 50_000
+PARALLEL_FITS = 6
+
+
 def prepared(train, metadata):
-    """(fitted preprocessing, training matrix with weights written to the shared folder)."""
+    """(fitted preprocessing, training matrix with weights written to the shared folder, its rows).
+    Small matrices get few partitions, as boosting runs thousands of short jobs over them."""
+    sizes = X.class_sizes(train)
+    n = sum(sizes.values())
     prep = X.fit_preprocessor(train, metadata)
-    matrix = prep.transform(X.with_class_weight(train)).select("features", X.LABEL, "__weight")
-    return prep, materialize(matrix, "matrix")
+    matrix = prep.transform(X.with_class_weight(train, sizes)).select("features", X.LABEL, "__weight")
+    return prep, materialize(matrix.coalesce(max(1, -(-n // ROWS_PER_PARTITION))), "matrix"), n
+
+
+def at_once(fn, items):
+    """fn of every item, a few at the same time: each fit is a chain of short jobs that leaves most
+    of the cluster idle. Results keep their order."""
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return pool.map(fn, list(items), chunksize=1)
 
 
 def score_rows(fitted, rows):
@@ -64,12 +79,13 @@ def cross_validate(train, metadata, candidates, key=(X.KEY,)):
     scores = {name: [] for name in candidates}
     for i in range(folds):
         inner, outer = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)
-        prep, matrix = prepared(inner, metadata)
-        n = matrix.count()
+        prep, matrix, n = prepared(inner, metadata)
         held = materialize(prep.transform(outer).select("features", X.LABEL), "held-out")
-        for name, make in candidates.items():
-            scored = score_rows(make(n).fit(matrix), held)
-            scores[name].append(classification_metrics(scored).first()["f1_score"])
+
+        def f1_score(make):
+            return classification_metrics(score_rows(make(n).fit(matrix), held)).first()["f1_score"]
+        for name, f1 in zip(candidates, at_once(f1_score, candidates.values())):
+            scores[name].append(f1)
     out = {}
     for name, f1 in scores.items():
         mean = sum(f1) / len(f1)
@@ -83,17 +99,22 @@ def train_models(train, test, metadata, candidates=None, cross_validation=True):
     candidates = candidates or CANDIDATES
     spark = train.sparkSession
     train, test = materialize(train, "train"), materialize(test, "test")
-    prep, matrix = prepared(train, metadata)
-    n = matrix.count()
+    prep, matrix, n = prepared(train, metadata)
     held = materialize(prep.transform(test).select("features", X.LABEL), "held-out")
     rows, models, failed = {}, {}, {}
-    for name, make in candidates.items():
+
+    def attempt(name):
         try:
-            fitted = make(n).fit(matrix)
-            rows[name] = evaluate(score_rows(fitted, held))
-            models[name] = TrainedModel(PipelineModel([*prep.stages, fitted]), name, metadata, spark)
+            fitted = candidates[name](n).fit(matrix)
+            return evaluate(score_rows(fitted, held)), fitted
         except Exception as error:  # the comparison goes on with the other candidates
-            failed[name] = f"Failed: {error}"
+            return None, f"Failed: {error}"
+    for name, (row, fitted) in zip(candidates, at_once(attempt, candidates)):
+        if row is None:
+            failed[name] = fitted
+        else:
+            rows[name] = row
+            models[name] = TrainedModel(PipelineModel([*prep.stages, fitted]), name, metadata, spark)
     cv = (cross_validate(train, metadata, {k: candidates[k] for k in rows}) if cross_validation
           else {k: (0.0, 0.0) for k in rows})
     table = []
@@ -137,8 +158,7 @@ def train_adaptive(df, target, key=None, trees=250, max_depth=30, min_rows=20):
         "target_column": target, "feature_columns": names, "adaptive_model": True,
         "numeric_features": [c for c in names if c in numeric_columns(rows)],
         "categorical_features": [c for c in names if c in category_columns(rows)]}
-    prep, matrix = prepared(train, metadata)
-    n = matrix.count()
+    prep, matrix, n = prepared(train, metadata)
     reason = None
     try:
         fitted, kind = random_forest(n, trees, max_depth).fit(matrix), "Random Forest"

@@ -76,7 +76,7 @@ def test_training_comparison(spark, split):
 
 def test_auc_equals_evaluator(spark, split):
     train, test, meta = split
-    prep, matrix = training.prepared(train, meta)
+    prep, matrix, _ = training.prepared(train, meta)
     out = models.decision_tree(1).fit(matrix).transform(prep.transform(test))
     want = BinaryClassificationEvaluator(rawPredictionCol="__vector", labelCol=features.LABEL, numBins=0).evaluate(out)
     scored = out.select(F.col(features.LABEL).alias("label"), models.churn_probability(out).alias("score"))

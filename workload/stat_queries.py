@@ -55,13 +55,30 @@ def _summary_sql(c):
             f"{r2(f'quantile_cont({d}, 0.75)', 6)} AS q75, max({d}) AS max FROM customer_360")
 
 
-@query("e3_numeric_summary", with_views(" UNION ALL ".join(map(_summary_sql, NUMERIC))))
+ALL_NUMERIC = [*NUMERIC, *(c for c in ['customer_key', 'senior_citizen', 'tenure', 'recency_months', 'usage_events', 'support_tickets', 'total_charges', 'monthly_charges', 'churn_probability'] if c not in NUMERIC)]
+
+
+@query("e3_numeric_summary", with_views(" UNION ALL ".join(map(_summary_sql, ALL_NUMERIC))))
 def e3_numeric_summary(spark, sf):
-    out = stats.numeric_summary(stored(customer_360, spark, sf).select(*NUMERIC))
+    out = stats.numeric_summary(stored(customer_360, spark, sf))
     return out.select("feature", "count", *[F.round(c, 6).alias(c) for c in ("mean", "std")], "min",
                       *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")], "max")
 
 
+@query("e3_numeric_summary_odd_values", with_views("""
+SELECT 'x' AS feature, count(x) AS count, min(x) AS min, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.75) AS q75, max(x) AS max
+FROM (SELECT CASE WHEN isfinite(v) THEN v END AS x FROM odd)""", extra="""
+odd AS (SELECT CASE customer_key % 7 WHEN 0 THEN CAST('Infinity' AS DOUBLE) WHEN 1 THEN CAST('-Infinity' AS DOUBLE) WHEN 2 THEN CAST('NaN' AS DOUBLE)
+  WHEN 3 THEN CASE WHEN customer_key % 2 = 0 THEN 1e308 ELSE -1e308 END ELSE monthly_charges END AS v FROM customer_360)"""))
+def e3_numeric_summary_odd_values(spark, sf):
+    """Infinities and NaN are missing values; the others span more than the range of doubles."""
+    k = F.col("customer_key")
+    odd = (F.when(k % 7 == 0, float("inf")).when(k % 7 == 1, float("-inf")).when(k % 7 == 2, float("nan"))
+           .when(k % 7 == 3, F.when(k % 2 == 0, 1e308).otherwise(-1e308)).otherwise(F.col("monthly_charges")))
+    out = stats.numeric_summary(stored(customer_360, spark, sf).select(odd.alias("x")))
+    return out.select("feature", "count", "min", "q25", "q50", "q75", "max")
+
+
 @query("e4_categorical_summary", with_views(" UNION ALL ".join(
     f"SELECT '{c}' AS feature, (SELECT count(DISTINCT {c}) FROM customer_360) AS unique_values, {c} AS most_common, n AS most_common_count "
     f"FROM (SELECT {c}, count(*) AS n FROM customer_360 WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, {c} LIMIT 1)"
@@ -119,9 +136,9 @@ def e7_tenure_churn_short(spark, sf):
 
 @query("e8_correlations", with_views(" UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r2(f'corr({a}, {b})', 6)} AS correlation FROM customer_360"
-    for a in NUMERIC for b in NUMERIC)))
+    for a in ALL_NUMERIC for b in ALL_NUMERIC)))
 def e8_correlations(spark, sf):
-    return stats.correlations(customer_360(spark, sf), NUMERIC).withColumn(
+    return stats.correlations(customer_360(spark, sf), ALL_NUMERIC).withColumn(
         "correlation", F.round("correlation", 6))
 
 
@@ -131,9 +148,9 @@ def _outlier_sql(c):
     return f"SELECT '{c}' AS feature, {n} AS outliers, {pct(n, f'count({c})')} AS outlier_percentage FROM customer_360 CROSS JOIN {q}"
 
 
-@query("e9_outliers", with_views(" UNION ALL ".join(map(_outlier_sql, NUMERIC))))
+@query("e9_outliers", with_views(" UNION ALL ".join(map(_outlier_sql, ALL_NUMERIC))))
 def e9_outliers(spark, sf):
-    return stats.outliers(stored(customer_360, spark, sf), NUMERIC)
+    return stats.outliers(stored(customer_360, spark, sf), ALL_NUMERIC)
 
 
 @query("e10_eda_bundle", with_views(f"""
@@ -483,6 +500,13 @@ def j5_one_hot(spark, sf):
     return breakdown.one_hot(d, ["payment_method"], breakdown.distinct_levels(d, ["payment_method"]))
 
 
+@query("j5_one_hot_long", with_views("""
+SELECT customer_id, concat('payment_method_', payment_method) AS feature FROM customer_360
+UNION ALL SELECT customer_id, concat('contract_', contract) FROM customer_360"""))
+def j5_one_hot_long(spark, sf):
+    return breakdown.one_hot_long(customer_360(spark, sf), ["payment_method", "contract"], "customer_id")
+
+
 # --- explorer ---------------------------------------------------------------------------------------
 
 @query("d1_apply_filters", with_views("""
@@ -499,12 +523,12 @@ TEXTS = ["customer_key", "customer_id", "gender", "senior_citizen", "plan_segmen
          "payment_method", "tenure", "recency_months", "usage_events", "support_tickets", "churn"]
 
 
+# Numbers have no text form with "month-to" in it, so how they are written does not matter here.
 @query("d2_search", with_views(
     "SELECT customer_id, contract FROM customer_360 WHERE "
-    + " OR ".join(f"coalesce(contains(lower(CAST({c} AS VARCHAR)), 'month-to'), false)" for c in TEXTS)))
+    + " OR ".join(f"coalesce(contains(lower(CAST({c} AS VARCHAR)), 'month-to'), false)" for c in [*TEXTS, *ALL_NUMERIC])))
 def d2_search(spark, sf):
-    d = customer_360(spark, sf)
-    return explore.search(d.select(*TEXTS), " month-TO ").select("customer_id", "contract")
+    return explore.search(customer_360(spark, sf), " month-TO ").select("customer_id", "contract")
 
 
 CHOSEN = "risk_level IN ('High', 'Critical') AND contract = 'Month-to-month' AND retention_priority IN ('High', 'Immediate')"
