@@ -6,17 +6,20 @@ at most `chunks * (errors + 1) - 1` symbols have, by the pigeonhole principle, a
 `errors` differing symbols. Each chunk is therefore indexed once for every choice of `errors`
 positions left out, and equality of one such key finds every pair within that distance. Pairs beyond
 it still meet often: with ten chunks of six symbols and one error a pair of similarity 0.8 is missed
-once in 40,000 times. One bit of every minimum makes a sketch; pairs whose sketches differ in more
-than `most_bits` bits (five standard deviations at similarity 0.8) are dropped where they meet.
-The others are confirmed on the full shingle sets.
+once in 40,000 times. Three bits of every minimum make a sketch; pairs whose sketches differ in more
+than `most_apart` of the 256 minima (4.8 standard deviations above the mean at similarity 0.8) are
+dropped where they meet. The others are confirmed on the full shingle sets.
 
 Documents of equal sets form a class and only the smallest doc_id stands for it. Within a bucket
-the members are compared with few hubs first; members of one component need no more comparison,
-so a group of thousands of near copies costs thousands of comparisons, not millions of pairs.
-Hubs are added in growing rounds until each bucket is either one component or wholly compared.
+the members are compared with few hubs first, those that meet the most documents over all their
+buckets: in a group of near copies that is the text that the others were made from. Members of one
+component need no more comparison, so a group of thousands of near copies costs thousands of
+comparisons, not millions of pairs. Hubs are added in growing rounds until each bucket is either
+one component or wholly compared.
 """
 
 import hashlib
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,8 +31,8 @@ from ebbtide.llm.sending import broadcast, received
 from ebbtide.llm.shingles import WordHashes, mix, shingle_set, texts, words
 from ebbtide.session import materialize
 
-WORDS_OF_SKETCH = [f"sketch_{k}" for k in range(4)]
-SYMBOLS = 64 * len(WORDS_OF_SKETCH)
+SYMBOLS, PLANES = 256, 3
+WORDS_OF_SKETCH = [f"sketch_{plane}_{k}" for plane in range(PLANES) for k in range(SYMBOLS // 64)]
 PRINTS = f"doc_id long, n_shingles long, set_key string, signature binary, {', '.join(f'{w} long' for w in WORDS_OF_SKETCH)}"
 SETS = "doc_id long, shingles array<long>"
 BLOCK = 4096
@@ -62,7 +65,8 @@ class Signer:
         """Per row of minima: the 16-bit symbols that are indexed, and the sketch as 64-bit words."""
         mixed = mix(minima.astype(np.uint64) + self.salts)
         symbols = (mixed[:, :self.chunks * self.size] & np.uint64(0xFFFF)).astype(np.uint16)
-        return symbols, np.packbits((mixed >> np.uint64(40)).astype(np.uint8) & 1, axis=1).view(np.int64)
+        planes = [np.packbits((mixed >> np.uint64(40 + k)).astype(np.uint8) & 1, axis=1) for k in range(PLANES)]
+        return symbols, np.concatenate(planes, axis=1).view(np.int64)
 
     def bands(self, symbols):
         """Keys of all chunks with every allowed choice of left-out positions."""
@@ -171,12 +175,17 @@ def confirmed(pairs, docs, size, percent):
             .where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b"))
 
 
-def met(members, hubs, percent, most_bits, *more):
-    """Distinct pairs (a, b, n_a, n_b) of hubs and members of a bucket that may be similar enough."""
+def met(members, hubs, percent, most_apart, *more):
+    """Distinct pairs (a, b, n_a, n_b) of hubs and later members of a bucket that may be similar
+    enough. Members come in the order of falling score, then of doc_id."""
     m, h = members.alias("m"), hubs.alias("h")
-    apart = sum(F.bit_count(F.col(f"m.{w}").bitwiseXOR(F.col(f"h.{w}"))) for w in WORDS_OF_SKETCH)
+    step = SYMBOLS // 64
+    differing = [reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"m.{w}").bitwiseXOR(F.col(f"h.{w}")) for w in WORDS_OF_SKETCH[k::step]])
+                 for k in range(step)]
+    apart = sum(map(F.bit_count, differing))
     small, large = (f(F.col("m.n"), F.col("h.n")) for f in (F.least, F.greatest))
-    near = (F.col("m.rep") > F.col("h.rep")) & (small * 100 >= large * percent) & (apart <= most_bits)
+    later = F.expr("m.score < h.score OR (m.score = h.score AND m.rep > h.rep)")
+    near = later & (small * 100 >= large * percent) & (apart <= most_apart)
     for condition in more:
         near &= condition
     return (m.join(h, (F.col("m.band") == F.col("h.band")) & near)
@@ -184,7 +193,7 @@ def met(members, hubs, percent, most_bits, *more):
             .distinct())
 
 
-def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1, most_bits=50, growth=64, seed=7):
+def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1, most_apart=74, growth=64, seed=7):
     """Component of every document under "shares at least `percent` of the union of shingles".
 
     Returns doc_id, n_shingles, component_id, kept for each row of `docs` (columns doc_id, text).
@@ -198,27 +207,28 @@ def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1,
     heads = materialize(prints.where("doc_id is not null and n_shingles > 0").groupBy("set_key")
                         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *same), "heads")
     entries = indexed(heads, signer)
-    full = (entries.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"))
-            .where("hub < last").drop("last"))
-    crowded = entries.join(full, "band").join(heads.select("rep", "n", *WORDS_OF_SKETCH), "rep")
-    crowded = materialize(crowded, "crowded")
-
-    pairs = materialize(met(crowded, crowded.where("rep = hub"), percent, most_bits), "pairs")
+    full = entries.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    entries = materialize(entries.join(full, "band"), "entries")
+    scores = entries.groupBy("rep").agg(F.sum("members").alias("score"))
+    crowded = materialize(entries.join(scores.join(heads.select("rep", "n", *WORDS_OF_SKETCH), "rep"), "rep"), "crowded")
+
+    first = F.max(F.struct("score", (-F.col("rep")).alias("last"), "rep", "n", *WORDS_OF_SKETCH)).alias("hub")
+    hubs = crowded.groupBy("band").agg(first).select("band", "hub.*")
+    pairs = materialize(met(crowded, hubs, percent, most_apart), "pairs")
     labels = components(materialize(confirmed(pairs, docs, size, percent), "links"))
     done = 1
     while True:
         hubs = done * growth
-        mine = (crowded.join(labels.toDF("rep", "component"), "rep", "left")
+        mine = (crowded.where(F.col("members") > done + 1).join(labels.toDF("rep", "component"), "rep", "left")
                 .withColumn("component", F.coalesce("component", "rep")))
-        open_bands = (mine.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                               F.count("*").alias("members"))
-                      .where(F.col("members") > done + 1).where("x < y").select("band"))
+        open_bands = (mine.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+                      .where("x < y").select("band"))
         mine = materialize(mine.join(open_bands, "band"), "open")
         if mine.isEmpty():
             break
-        order = F.row_number().over(Window.partitionBy("band").orderBy("rep"))
+        order = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("score"), "rep"))
         few = mine.withColumn("order", order).where(F.col("order") <= hubs).where(F.col("order") > done)
-        pairs = materialize(met(mine, few, percent, most_bits, F.col("m.component") != F.col("h.component")), "pairs")
+        pairs = materialize(met(mine, few, percent, most_apart, F.col("m.component") != F.col("h.component")), "pairs")
         if not pairs.isEmpty():
             more = materialize(confirmed(pairs, docs, size, percent), "links")
             if not more.isEmpty():
