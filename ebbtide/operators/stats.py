@@ -8,8 +8,9 @@ from ebbtide.functions.columns import (
 from ebbtide.operators.quality import basic_profile
 from ebbtide.operators.rank import exact_quantiles
 from ebbtide.operators.roles import detect_columns
+from ebbtide.session import materialize
 
-PAIRS_PER_JOB = 400
+TILE = 20
 
 
 def _labelled(df, *names):
@@ -132,19 +133,23 @@ def tenure_churn(df):
 
 
 def correlations(df, columns=None):
-    """(feature_a, feature_b, correlation) over all ordered pairs, from complete pairs only.
-    Each pair is computed once; very wide tables take several passes of bounded size."""
+    """(feature_a, feature_b, correlation) over all ordered pairs, from complete pairs only. Each pair
+    is computed once, in tiles of columns; a table wider than one tile is written once, and every
+    tile then reads its own columns only."""
     columns, rows = _numbers(df, columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    parts = [columns[k:k + TILE] for k in range(0, len(columns), TILE)]
+    if len(parts) > 1:
+        rows = materialize(rows, "numbers")
     out = None
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        part = pairs[start:start + PAIRS_PER_JOB]
-        row = rows.agg(*[F.corr(col(a), col(b)).alias(f"c{i}") for i, (a, b) in enumerate(part)])
-        cells = [F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"),
-                          F.col(f"c{i}").alias("correlation"))
-                 for i, (a, b) in enumerate(part) for x, y in dict.fromkeys([(a, b), (b, a)])]
-        piece = row.select(F.inline(F.array(*cells)))
-        out = piece if out is None else out.unionByName(piece)
+    for s, left in enumerate(parts):
+        for t, right in enumerate(parts[s:], s):
+            pairs = [(a, b) for i, a in enumerate(left) for b in (left[i:] if s == t else right)]
+            row = rows.agg(*[F.corr(col(a), col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+            cells = [F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"),
+                              F.col(f"c{i}").alias("correlation"))
+                     for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])]
+            piece = row.select(F.inline(F.array(*cells)))
+            out = piece if out is None else out.unionByName(piece)
     return out
 
 

@@ -28,7 +28,7 @@ RESULT_SCHEMA = ("model string, " + ", ".join(f"{m} double" for m in METRICS)
 
 
 ROWS_PER_PARTITION = 50_000
-PARALLEL_FITS = 6
+PARALLEL_FITS = 8
 
 
 def prepared(train, metadata):
@@ -76,16 +76,20 @@ def cross_validate(train, metadata, candidates, key=(X.KEY,)):
     if not folds:
         return {name: (0.0, 0.0) for name in candidates}
     rows = X.with_folds(train, list(key), folds)
-    scores = {name: [] for name in candidates}
+    prepared_folds = []
     for i in range(folds):
-        inner, outer = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)
-        prep, matrix, n = prepared(inner, metadata)
-        held = materialize(prep.transform(outer).select("features", X.LABEL), "held-out")
-
-        def f1_score(make):
-            return classification_metrics(score_rows(make(n).fit(matrix), held)).first()["f1_score"]
-        for name, f1 in zip(candidates, at_once(f1_score, candidates.values())):
-            scores[name].append(f1)
+        prep, matrix, n = prepared(rows.where(F.col("fold") != i), metadata)
+        held = prep.transform(rows.where(F.col("fold") == i)).select("features", X.LABEL)
+        prepared_folds.append((matrix, n, materialize(held, "held-out")))
+
+    def f1_score(task):
+        make, (matrix, n, held) = task
+        return classification_metrics(score_rows(make(n).fit(matrix), held)).first()["f1_score"]
+    # The slow candidates first, so that none is left running alone at the end.
+    tasks = [(name, fold) for name in reversed(list(candidates)) for fold in prepared_folds]
+    scores = {name: [] for name in candidates}
+    for (name, _), f1 in zip(tasks, at_once(f1_score, [(candidates[name], fold) for name, fold in tasks])):
+        scores[name].append(f1)
     out = {}
     for name, f1 in scores.items():
         mean = sum(f1) / len(f1)

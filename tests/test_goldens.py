@@ -75,3 +75,19 @@ def test_profile_scores_a_later_batch_unchanged(spark, segments):
              for r in risk.customer_intelligence(segments, profile).collect()}
     part = risk.customer_intelligence(segments.where("customerID = 'C004'"), profile).first()
     assert part["customer_risk_score"] == whole["C004"]
+
+
+def test_correlations_over_several_tiles(spark):
+    """More columns than one tile holds, against the plain formula."""
+    import itertools
+    import statistics
+
+    from ebbtide.operators import stats
+    names = [f"c{k}" for k in range(stats.TILE + 3)]
+    rows = [tuple(float((r * 7 + k * 3 + r * r * k) % 11) for k in range(len(names))) for r in range(30)]
+    got = {(r["feature_a"], r["feature_b"]): r["correlation"]
+           for r in stats.correlations(spark.createDataFrame(rows, names)).collect()}
+    assert len(got) == len(names) ** 2
+    cols = dict(zip(names, zip(*rows)))
+    for a, b in itertools.combinations(names, 2):
+        assert abs(got[a, b] - statistics.correlation(cols[a], cols[b])) < 1e-9
