@@ -10,12 +10,15 @@ once in 40,000 times. Three bits of every minimum make a sketch; pairs whose ske
 than `most_apart` of the 256 minima (4.8 standard deviations above the mean at similarity 0.8) are
 dropped where they meet. The others are confirmed on the full shingle sets.
 
-Documents of equal sets form a class and only the smallest doc_id stands for it. Within a bucket
-the members are compared with few hubs first, those that meet the most documents over all their
-buckets: in a group of near copies that is the text that the others were made from. Members of one
-component need no more comparison, so a group of thousands of near copies costs thousands of
-comparisons, not millions of pairs. Hubs are added in growing rounds until each bucket is either
-one component or wholly compared.
+Documents of equal sets form a class and only the smallest doc_id stands for it. A bucket's members are
+compared with one hub, the member that meets the most documents over all its buckets: in a group of
+near copies that is the text that the others were made from. Members linked with the hub are one
+component. Of the other pairs, only those whose differences from the hub overlap are compared: with
+D(x) = x minus hub plus hub minus x, the difference of x and y has |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+elements, so two texts of which one is no link of the hub must share more than a known number of
+elements of D. Elements are put in order of rarity, and texts can only share that many if they share one
+among the first few (prefix filter). All this is exact; a group of thousands of near copies, linked with
+their origin or just not, costs thousands of comparisons instead of millions.
 """
 
 import hashlib
@@ -175,25 +178,70 @@ def confirmed(pairs, docs, size, percent):
             .where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b"))
 
 
-def met(members, hubs, percent, most_apart, *more):
-    """Distinct pairs (a, b, n_a, n_b) of hubs and later members of a bucket that may be similar
-    enough. Members come in the order of falling score, then of doc_id."""
-    m, h = members.alias("m"), hubs.alias("h")
+def apart():
+    """In how many minima the sketches of m and h differ."""
     step = SYMBOLS // 64
-    differing = [reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"m.{w}").bitwiseXOR(F.col(f"h.{w}")) for w in WORDS_OF_SKETCH[k::step]])
-                 for k in range(step)]
-    apart = sum(map(F.bit_count, differing))
+    words = [reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"m.{w}").bitwiseXOR(F.col(f"h.{w}")) for w in WORDS_OF_SKETCH[k::step]])
+             for k in range(step)]
+    return sum(map(F.bit_count, words))
+
+
+def near(percent, most_apart):
+    """Sizes and sketches of m and h allow the wanted similarity."""
     small, large = (f(F.col("m.n"), F.col("h.n")) for f in (F.least, F.greatest))
-    later = F.expr("m.score < h.score OR (m.score = h.score AND m.rep > h.rep)")
-    near = later & (small * 100 >= large * percent) & (apart <= most_apart)
-    for condition in more:
-        near &= condition
-    return (m.join(h, (F.col("m.band") == F.col("h.band")) & near)
-            .select(F.col("h.rep").alias("a"), F.col("m.rep").alias("b"), F.col("h.n").alias("n_a"), F.col("m.n").alias("n_b"))
-            .distinct())
+    return (small * 100 >= large * percent) & (apart() <= most_apart)
+
 
+def pairs_of(joined):
+    return joined.select(F.col("h.rep").alias("a"), F.col("m.rep").alias("b"), F.col("h.n").alias("n_a"),
+                         F.col("m.n").alias("n_b")).distinct()
 
-def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1, most_apart=74, growth=64, seed=7):
+
+def differences(spokes, docs, size):
+    """spokes (hub, rep) with n_hub and the elements in which rep differs from its hub."""
+    ids = materialize(spokes.select(F.explode(F.array("hub", "rep")).alias("doc_id")).distinct(), "ids")
+    sets = shingle_sets(docs.where("doc_id is not null"), size, bitmap_of(ids))
+    sets = materialize(sets.join(ids, "doc_id").dropDuplicates(["doc_id"]), "sets")
+    both = spokes.join(sets.toDF("hub", "x_h"), "hub").join(sets.toDF("rep", "x_r"), "rep")
+    return both.select("hub", "rep", F.size("x_h").alias("n_hub"), F.concat(
+        F.array_except("x_r", "x_h"), F.array_except("x_h", "x_r")).alias("diff"))
+
+
+def by_differences(spokes, heads, docs, size, percent, most_apart, labels):
+    """Pairs of different components that meet at a hub and share rare differences from it."""
+    share = (100 - percent) / (100 + percent)
+    spokes = (differences(spokes, docs, size).join(heads.select("rep", "n", *WORDS_OF_SKETCH), "rep")
+              .join(labels.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    d = F.size("diff")
+    least = (d + (F.col("n_hub") - F.col("n")) * share) / 2
+    least_of_linked = (d - (F.col("n_hub") + F.col("n")) * share) / 2
+    spokes = materialize(spokes.select(
+        "hub", "rep", "n", "component", *WORDS_OF_SKETCH, "diff",
+        (d <= (F.col("n_hub") + F.col("n")) * share).alias("linked"),
+        # Among texts that are no links of the hub, and for links of it against those, more than
+        # `least` elements are shared; between such a text and links of the hub, `least_of_linked`.
+        (d - F.floor(F.greatest(least - 1e-9, F.lit(0.0)))).alias("short"),
+        (d - F.greatest(F.lit(1), F.ceil(least_of_linked - 1e-9)) + 1).alias("long")), "spokes")
+    elements = spokes.select("hub", "rep", "linked", "short", "long", F.explode("diff").alias("element"))
+    held = elements.groupBy("hub", "element").agg(F.count("*").alias("times")).where("times > 1")
+    alone = spokes.select("hub", "rep", d.alias("d"))
+    shared = elements.join(held, ["hub", "element"])
+    # Elements held once come first in the order of rarity; they are counted, not carried.
+    place = F.row_number().over(Window.partitionBy("hub", "rep").orderBy("times", "element"))
+    count = F.count("*").over(Window.partitionBy("hub", "rep"))
+    ranked = shared.withColumn("place", place).withColumn("count", count).join(alone, ["hub", "rep"])
+    ranked = ranked.withColumn("place", F.col("place") + F.col("d") - F.col("count"))
+    keep = F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", "long"))
+    first = materialize(ranked.where(F.col("place") <= keep).select("hub", "element", "rep", (F.col("place") <= F.col("short")).alias("early"))
+                        .join(spokes.select("hub", "rep", "n", "component", "linked", *WORDS_OF_SKETCH), ["hub", "rep"]), "firsts")
+    m, h = first.alias("m"), first.alias("h")
+    meets = ((F.col("m.hub") == F.col("h.hub")) & (F.col("m.element") == F.col("h.element")) & (F.col("m.component") != F.col("h.component")))
+    loose = m.where("NOT m.linked AND early").join(h.where("NOT h.linked AND early"), meets & (F.col("m.rep") > F.col("h.rep")) & near(percent, most_apart))
+    mixed = m.where("NOT m.linked").join(h.where("h.linked AND early"), meets & near(percent, most_apart))
+    return pairs_of(loose).union(pairs_of(mixed)).distinct()
+
+
+def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1, most_apart=74, seed=7):
     """Component of every document under "shares at least `percent` of the union of shingles".
 
     Returns doc_id, n_shingles, component_id, kept for each row of `docs` (columns doc_id, text).
@@ -210,30 +258,26 @@ def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1,
     full = entries.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     entries = materialize(entries.join(full, "band"), "entries")
     scores = entries.groupBy("rep").agg(F.sum("members").alias("score"))
-    crowded = materialize(entries.join(scores.join(heads.select("rep", "n", *WORDS_OF_SKETCH), "rep"), "rep"), "crowded")
-
-    first = F.max(F.struct("score", (-F.col("rep")).alias("last"), "rep", "n", *WORDS_OF_SKETCH)).alias("hub")
-    hubs = crowded.groupBy("band").agg(first).select("band", "hub.*")
-    pairs = materialize(met(crowded, hubs, percent, most_apart), "pairs")
+    scored = entries.join(scores, "rep")
+    hubs = scored.groupBy("band").agg(F.max(F.struct("score", (-F.col("rep")).alias("last"))).alias("top")).select(
+        "band", (-F.col("top.last")).alias("hub"))
+    crowded = materialize(entries.join(hubs, "band"), "crowded")
+
+    facts = heads.select("rep", "n", *WORDS_OF_SKETCH)
+    spokes = crowded.where("rep != hub").select("hub", "rep").distinct()
+    joined = (spokes.alias("s").join(facts.alias("m"), F.col("s.rep") == F.col("m.rep"))
+              .join(facts.alias("h"), (F.col("s.hub") == F.col("h.rep")) & near(percent, most_apart)))
+    pairs = materialize(pairs_of(joined), "pairs")
     labels = components(materialize(confirmed(pairs, docs, size, percent), "links"))
-    done = 1
-    while True:
-        hubs = done * growth
-        mine = (crowded.where(F.col("members") > done + 1).join(labels.toDF("rep", "component"), "rep", "left")
-                .withColumn("component", F.coalesce("component", "rep")))
-        open_bands = (mine.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                      .where("x < y").select("band"))
-        mine = materialize(mine.join(open_bands, "band"), "open")
-        if mine.isEmpty():
-            break
-        order = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("score"), "rep"))
-        few = mine.withColumn("order", order).where(F.col("order") <= hubs).where(F.col("order") > done)
-        pairs = materialize(met(mine, few, percent, most_apart, F.col("m.component") != F.col("h.component")), "pairs")
-        if not pairs.isEmpty():
-            more = materialize(confirmed(pairs, docs, size, percent), "links")
-            if not more.isEmpty():
-                labels = components(labels.toDF("a", "b").unionByName(more))
-        done = hubs
+
+    named = (crowded.where("members > 2").join(labels.toDF("rep", "component"), "rep", "left")
+             .withColumn("component", F.coalesce("component", "rep")))
+    open_bands = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    spokes = materialize(named.join(open_bands, "band").where("rep != hub").select("hub", "rep").distinct(), "open")
+    pairs = materialize(by_differences(spokes, heads, docs, size, percent, most_apart, labels), "pairs")
+    more = materialize(confirmed(pairs, docs, size, percent), "links")
+    if not more.isEmpty():
+        labels = components(labels.toDF("a", "b").unionByName(more))
 
     classes = (heads.select("set_key", "rep").join(labels.toDF("rep", "component"), "rep", "left")
                .select("set_key", F.coalesce("component", "rep").alias("component")))

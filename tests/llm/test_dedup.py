@@ -58,7 +58,7 @@ def variants(seed):
 def test_groups_passages_and_short_texts(spark):
     for seed in (1, 2):
         rows = variants(seed)
-        found = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2, growth=2)
+        found = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2)
         assert results(found) == brute(rows, 2, 80)
 
 
