@@ -36,7 +36,7 @@ from ebbtide.session import materialize
 
 SYMBOLS, PLANES = 256, 3
 WORDS_OF_SKETCH = [f"sketch_{plane}_{k}" for plane in range(PLANES) for k in range(SYMBOLS // 64)]
-PRINTS = f"doc_id long, n_shingles long, set_key string, signature binary, {', '.join(f'{w} long' for w in WORDS_OF_SKETCH)}"
+PRINTS = ", ".join(["doc_id long, n_shingles long, set_key string, signature binary", *(f"{w} long" for w in WORDS_OF_SKETCH)])
 SETS = "doc_id long, shingles array<long>"
 BLOCK = 4096
 BITMAP_BITS = 1 << 25
@@ -181,8 +181,8 @@ def confirmed(pairs, docs, size, percent):
 def apart():
     """In how many minima the sketches of m and h differ."""
     step = SYMBOLS // 64
-    words = [reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"m.{w}").bitwiseXOR(F.col(f"h.{w}")) for w in WORDS_OF_SKETCH[k::step]])
-             for k in range(step)]
+    differ = {w: F.col(f"m.{w}").bitwiseXOR(F.col(f"h.{w}")) for w in WORDS_OF_SKETCH}
+    words = [reduce(lambda x, y: x.bitwiseOR(y), [differ[w] for w in WORDS_OF_SKETCH[k::step]]) for k in range(step)]
     return sum(map(F.bit_count, words))
 
 
@@ -193,8 +193,8 @@ def near(percent, most_apart):
 
 
 def pairs_of(joined):
-    return joined.select(F.col("h.rep").alias("a"), F.col("m.rep").alias("b"), F.col("h.n").alias("n_a"),
-                         F.col("m.n").alias("n_b")).distinct()
+    return joined.select(F.col("h.rep").alias("a"), F.col("m.rep").alias("b"),
+                         F.col("h.n").alias("n_a"), F.col("m.n").alias("n_b")).distinct()
 
 
 def differences(spokes, docs, size):
@@ -232,12 +232,16 @@ def by_differences(spokes, heads, docs, size, percent, most_apart, labels):
     ranked = shared.withColumn("place", place).withColumn("count", count).join(alone, ["hub", "rep"])
     ranked = ranked.withColumn("place", F.col("place") + F.col("d") - F.col("count"))
     keep = F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", "long"))
-    first = materialize(ranked.where(F.col("place") <= keep).select("hub", "element", "rep", (F.col("place") <= F.col("short")).alias("early"))
-                        .join(spokes.select("hub", "rep", "n", "component", "linked", *WORDS_OF_SKETCH), ["hub", "rep"]), "firsts")
+    early = (F.col("place") <= F.col("short")).alias("early")
+    first = materialize(ranked.where(F.col("place") <= keep).select("hub", "element", "rep", early).join(
+        spokes.select("hub", "rep", "n", "component", "linked", *WORDS_OF_SKETCH), ["hub", "rep"]), "firsts")
     m, h = first.alias("m"), first.alias("h")
-    meets = ((F.col("m.hub") == F.col("h.hub")) & (F.col("m.element") == F.col("h.element")) & (F.col("m.component") != F.col("h.component")))
-    loose = m.where("NOT m.linked AND early").join(h.where("NOT h.linked AND early"), meets & (F.col("m.rep") > F.col("h.rep")) & near(percent, most_apart))
-    mixed = m.where("NOT m.linked").join(h.where("h.linked AND early"), meets & near(percent, most_apart))
+    meets = near(percent, most_apart) & (F.col("m.component") != F.col("h.component"))
+    for key in ("hub", "element"):
+        meets &= F.col(f"m.{key}") == F.col(f"h.{key}")
+    loose = m.where("NOT m.linked AND early").join(
+        h.where("NOT h.linked AND early"), meets & (F.col("m.rep") > F.col("h.rep")))
+    mixed = m.where("NOT m.linked").join(h.where("h.linked AND early"), meets)
     return pairs_of(loose).union(pairs_of(mixed)).distinct()
 
 
@@ -259,8 +263,8 @@ def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1,
     entries = materialize(entries.join(full, "band"), "entries")
     scores = entries.groupBy("rep").agg(F.sum("members").alias("score"))
     scored = entries.join(scores, "rep")
-    hubs = scored.groupBy("band").agg(F.max(F.struct("score", (-F.col("rep")).alias("last"))).alias("top")).select(
-        "band", (-F.col("top.last")).alias("hub"))
+    top = F.max(F.struct("score", (-F.col("rep")).alias("last"))).alias("top")
+    hubs = scored.groupBy("band").agg(top).select("band", (-F.col("top.last")).alias("hub"))
     crowded = materialize(entries.join(hubs, "band"), "crowded")
 
     facts = heads.select("rep", "n", *WORDS_OF_SKETCH)
