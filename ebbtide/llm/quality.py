@@ -1,7 +1,8 @@
 """Quality by votes of the nearest labelled texts in a latent-semantic space.
 
 A text is described by the square roots of the shares of its hashed n-grams: trigrams of character
-classes (what the text looks like) and bigrams of lower-cased characters. The labelled sample, at
+classes (what the text looks like) and bigrams of lower-cased characters; and of the share of words
+that repeat the word before them. The labelled sample, at
 most `sample` texts of each label, is decomposed into `dims` latent directions. Its vectors are
 broadcast (2 x sample x dims numbers, fixed by the parameters); every text is compared with all of
 them in blocks of exact cosine products and its nearest `neighbours` vote with weights by similarity.
@@ -11,28 +12,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ebbtide.llm.ngrams import classes, hashed, pieces
+from ebbtide.llm.ngrams import FACTOR, SPACE, classes, hashed, pieces
 from ebbtide.llm.sending import broadcast, received
 
-BUCKETS, BLOCK = 2048, 256
+BUCKETS, BLOCK = 2049, 256
+REPEATED = 0.25
 FIRST = np.uint32(0x110000)
 FEATURES = "quality int, features binary"
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def features(text, table, buckets):
-    """Square roots of n-gram shares: the first half of the buckets holds class trigrams, the
-    second lower-cased bigrams. Zero for a null or empty text."""
-    half = buckets // 2
-    out = np.zeros(buckets)
+    """Square roots of shares: the first half of the buckets but the last holds class trigrams, the second
+    lower-cased bigrams, the last repeated words. Zero for a null or empty text."""
+    half = (buckets - 1) // 2
+    out, words, repeated = np.zeros(2 * half), 0, 0
     if not text:
-        return out
+        return np.zeros(2 * half + 1)
     for codes in pieces(text, 2):
         kind = table[codes]
+        hashes = word_hashes(codes, kind == SPACE)
+        words, repeated = words + len(hashes), repeated + np.count_nonzero(hashes[1:] == hashes[:-1])
         out[:half] += np.bincount(hashed(np.where(kind > 0, FIRST + kind, codes), 3, half, 3), minlength=half)
     for codes in pieces(text.lower(), 1):
         out[half:] += np.bincount(hashed(codes, 2, half, 2), minlength=half)
-    return np.sqrt(out / max(out.sum(), 1))
+    return np.sqrt(np.append(out / max(out.sum(), 1), REPEATED * repeated / max(words, 1)))
+
+
+def word_hashes(codes, space):
+    """A number for each run of codes that are no white space."""
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    mixed = (codes ^ (codes >> np.uint32(7))) * FACTOR
+    return np.add.reduceat(np.where(space, 0, (mixed ^ (mixed >> np.uint32(15))).astype(np.uint64)), starts)
 
 
 class Neighbours:
