@@ -39,9 +39,8 @@ def batch(spark, rows):
 
 
 @pytest.fixture
-def customers(spark, request):
-    name = "t_" + request.node.name.replace("[", "_").replace("]", "").replace("-", "_")
-    return store.CustomerTable(spark, name).create()
+def customers(spark):
+    return store.CustomerTable(spark, folder=new_path(spark, "customers")).create()
 
 
 def test_upsert_rules(spark, customers):
