@@ -123,7 +123,7 @@ def judged(text, codes, table, buckets, gap, sharpness):
     return codes.names[best], float(1 / np.exp(-sharpness * (loss - loss[best])).sum()), doubt
 
 
-def predict(docs, model, buckets=BUCKETS, gap=0.25, sharpness=4.0):
+def predict(docs, model, buckets=BUCKETS, gap=0.1, sharpness=4.0):
     """docs (doc_id, held_out, text) with lang_pred, score and ambiguous."""
     shared = broadcast(docs.sparkSession, model)
 
@@ -142,7 +142,7 @@ def held_out(modulus, remainder):
     return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
 
 
-def filtered(docs, modulus=4, remainder=2, buckets=BUCKETS, gap=0.25, sharpness=4.0):
+def filtered(docs, modulus=4, remainder=2, buckets=BUCKETS, gap=0.1, sharpness=4.0):
     """The rows of docs, all columns, whose language the model of `identify` recognises beyond doubt."""
     shared = broadcast(docs.sparkSession, fit(docs.where(~held_out(modulus, remainder))))
     at = docs.columns.index("text")
