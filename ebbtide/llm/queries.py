@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ebbtide.llm import ann, bpe, chat, dedup, lang, mix, quality, shards, topk, urls
+from ebbtide.llm import ann, bpe, chat, dedup, fim, lang, merkle, mix, quality, shards, token_counts, topk, urls
 
 QUERIES, SQL = {}, {}
 
@@ -77,3 +77,22 @@ def op9(spark, sf_dir):
 @query("op10_minhash_dedup")
 def op10(spark, sf_dir):
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query("op11_fill_in_middle", fim.oracle())
+def op11(spark, sf_dir):
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+@query("op12_merkle_manifest", merkle.oracle())
+def op12(spark, sf_dir):
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1)
+    found = merkle.verified(table(spark, sf_dir, "documents"), changed={"n_chars": tampered})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_token_counts")
+def op13(spark, sf_dir):
+    return token_counts.over_limit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
