@@ -21,6 +21,7 @@ SEED = 42
 TEST_SIZE = 0.20
 LABEL = "__label"
 KEY = "__key"
+ROW_ID = "__row_id"
 HIGH_CARDINALITY = 0.95
 
 

@@ -3,13 +3,14 @@
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import logistic
+from ebbtide.operators.boosting import Boosting, Rules
 from ebbtide.operators.features import LABEL, SEED
+from ebbtide.operators.forest import Forest
 from ebbtide.operators.roles import has_features
 
 COMMON = {"featuresCol": "features", "labelCol": LABEL, "predictionCol": "__prediction"}
@@ -37,34 +38,30 @@ def decision_tree(n, max_depth=8):
                                          **TREES, **_weights(True), **COMMON))
 
 
-def random_forest(n, trees=300, max_depth=12, bootstrap=True):
-    return _named(RandomForestClassifier(
-        numTrees=trees, maxDepth=max_depth, minInstancesPerNode=2, seed=SEED, bootstrap=bootstrap,
-        featureSubsetStrategy="sqrt", **TREES, **_weights(True), **COMMON))
+def random_forest(n, trees=300, max_depth=12, min_split=5):
+    """Every tree sees a bag of the rows; the best of all thresholds of a few random features."""
+    return Forest(trees, max_depth, min_leaf=2, min_split=min_split)
 
 
-def forest_no_bootstrap(n, trees=300, max_depth=12):
-    """Stands in for extremely randomized trees: every tree sees all rows and a random choice of
-    features per split; the thresholds themselves are not random."""
-    return random_forest(n, trees, max_depth, bootstrap=False)
+def extra_trees(n, trees=300, max_depth=12):
+    """Extremely randomized trees: all rows, a random threshold for each of a few random features."""
+    return Forest(trees, max_depth, min_leaf=2, min_split=5, bootstrap=False, random_thresholds=True)
 
 
 def gradient_boosting(n, rounds=200):
-    return _named(GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=3, minInstancesPerNode=3,
-                                seed=SEED, **TREES, **COMMON))
+    """Trees of depth 3 on gradients, leaves by one Newton step."""
+    return Boosting(rounds, Rules(rate=0.05, max_leaves=8, max_depth=3, min_leaf=3, min_split=5, l2=0.0, criterion="friedman"))
 
 
 def histogram_boosting(n, rounds=200):
-    """Boosting on finely binned features; depth 4 stands in for at most 15 leaves, and there is
-    no L2 term."""
-    return _named(GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=4, maxBins=255,
-                                minInstancesPerNode=10, seed=SEED, **TREES, **COMMON))
+    """Second-order trees of at most 15 leaves, grown best first, with an L2 term of 1."""
+    return Boosting(rounds, Rules(rate=0.05, max_leaves=15, min_leaf=10, l2=1.0))
 
 
 # fixed values: display names of the candidates
 CANDIDATES = {
     "Logistic Regression": logistic_regression, "Decision Tree": decision_tree,
-    "Random Forest": random_forest, "Forest Without Bootstrap": forest_no_bootstrap,
+    "Random Forest": random_forest, "Extra Trees": extra_trees,
     "Gradient Boosting": gradient_boosting, "HistGradient Boosting": histogram_boosting,
 }
 

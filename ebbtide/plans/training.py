@@ -7,13 +7,13 @@ a compact table and survive the loss of executors.
 import math
 from multiprocessing.pool import ThreadPool
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ebbtide.functions import fixed
 from ebbtide.functions.columns import category_columns, numeric_columns
 from ebbtide.operators import features as X
+from ebbtide.operators.forest import TooManyFeatures
 from ebbtide.operators.metrics import classification_metrics, roc_auc, select_best
 from ebbtide.operators.models import (
     CANDIDATES, TrainedModel, churn_probability, logistic_regression, random_forest)
@@ -33,11 +33,13 @@ PARALLEL_FITS = 8
 
 def prepared(train, metadata):
     """(fitted preprocessing, training matrix with weights written to the shared folder, its rows).
-    Small matrices get few partitions, as boosting runs thousands of short jobs over them."""
+    Small matrices get few partitions, as linear models run many short jobs over them."""
     sizes = X.class_sizes(train)
     n = sum(sizes.values())
     prep = X.fit_preprocessor(train, metadata)
-    matrix = prep.transform(X.with_class_weight(train, sizes)).select("features", X.LABEL, "__weight")
+    row_id = F.xxhash64(X.KEY) if X.KEY in train.columns else F.xxhash64(*train.columns)
+    train = X.with_class_weight(train, sizes).withColumn(X.ROW_ID, row_id)
+    matrix = prep.transform(train).select("features", X.LABEL, "__weight", X.ROW_ID)
     return prep, materialize(matrix.coalesce(max(1, -(-n // ROWS_PER_PARTITION))), "matrix"), n
 
 
@@ -140,10 +142,10 @@ def run_training(df, key=None, candidates=None, cross_validation=True):
     return models[best["model"]], results
 
 
-def train_adaptive(df, target, key=None, trees=250, max_depth=30, min_rows=20):
-    """Model from a table's own labels: balanced forest of the greatest
-    depth Spark has, logistic regression if the forest refuses the features (the metadata say why). None
-    when there are fewer than 20 labelled rows or one class only."""
+def train_adaptive(df, target, key=None, trees=250, max_depth=None, min_rows=20):
+    """Model from a table's own labels: balanced forest without a limit of depth, logistic regression
+    if the forest refuses the features (the metadata say why). None when there are fewer than 20
+    labelled rows or one class only."""
     rows = X.adaptive_rows(df, target)
     sizes = X.class_sizes(rows)
     if sum(sizes.values()) < min_rows or len(sizes) < 2:
@@ -165,8 +167,8 @@ def train_adaptive(df, target, key=None, trees=250, max_depth=30, min_rows=20):
     prep, matrix, n = prepared(train, metadata)
     reason = None
     try:
-        fitted, kind = random_forest(n, trees, max_depth).fit(matrix), "Random Forest"
-    except IllegalArgumentException as error:  # e.g. more categories than a tree can bin
+        fitted, kind = random_forest(n, trees, max_depth, min_split=2).fit(matrix), "Random Forest"
+    except TooManyFeatures as error:
         reason = str(error)
         fitted, kind = logistic_regression(n, max_iter=1000).fit(matrix), "Logistic Regression"
     auc = roc_auc(materialize(score_rows(fitted, prep.transform(test)), "scores")).first()

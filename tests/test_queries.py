@@ -8,7 +8,7 @@ from workload.check import compare
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Fits of hundreds of trees take minutes: test_training.py covers training with small models, and
 # `workload/check.py` compares these queries too.
-LONG = {"k7_random_forest", "k8_forest_no_bootstrap", "k9_gradient_boosting", "k10_histogram_boosting",
+LONG = {"k7_random_forest", "k8_extra_trees", "k9_gradient_boosting", "k10_histogram_boosting",
         "k14_cross_validation", "k15_train_models", "k18_adaptive_model", "i10_score_customers_adaptive"}
 RELATIONAL = [name for name in QUERIES if name in SQL and name not in LONG]
 

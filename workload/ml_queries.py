@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ebbtide.functions import fixed
-from ebbtide.operators import breakdown, features, metrics, models
+from ebbtide.operators import boosting, breakdown, features, forest, metrics, models
 from ebbtide.plans import scoring, training
 from ebbtide.session import new_path
 from ebbtide.sources import files
@@ -121,7 +121,7 @@ def _fit_one(spark, sf, name):
 
 def _register_candidates():
     for key, name in (("k5_logistic_regression", "Logistic Regression"), ("k6_decision_tree", "Decision Tree"),
-                      ("k7_random_forest", "Random Forest"), ("k8_forest_no_bootstrap", "Forest Without Bootstrap"),
+                      ("k7_random_forest", "Random Forest"), ("k8_extra_trees", "Extra Trees"),
                       ("k9_gradient_boosting", "Gradient Boosting"), ("k10_histogram_boosting", "HistGradient Boosting")):
         query(key, with_views(f"SELECT '{name}' AS model, {PROPERTIES} FROM t", extra=LABELLED + "," + TEST_SIDE))(
             lambda spark, sf, name=name: _checked(_fit_one(spark, sf, name)).drop("cv_f1_mean", "cv_f1_std"))
@@ -130,6 +130,89 @@ def _register_candidates():
 _register_candidates()
 
 
+LEVEL_FEATURES = [(f"{c}_{v}", f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END") for c, vs in LEVELS.items() for v in vs]
+# Every feature of every labelled customer as (place, name, value, label), and rows by feature and value.
+LONG_FEATURES = FILLED + """,
+fl AS (SELECT f.*, y.yy FROM f JOIN y USING (customer_id)),
+v AS (%s),
+n AS (SELECT count(*) AS n, sum(yy) AS ones FROM fl)""" % " UNION ALL ".join(
+    f"SELECT {i} AS place, '{name}' AS name, CAST({expr} AS DOUBLE) AS x, yy FROM fl"
+    for i, (name, expr) in enumerate([(c, c) for c in NUMBERS] + LEVEL_FEATURES))
+
+
+def _first_split(spark, sf, make):
+    """The first split of the first tree over all labelled customers: feature, and by side its
+    customers, churners and leaf value."""
+    from pyspark.ml.functions import vector_to_array
+    train, test, meta = features.prepare_training_data(training_customers(spark, sf), "customer_id")
+    prep, matrix, _ = training.prepared(train.unionByName(test), meta)
+    names = features.feature_names(prep, meta)
+    nodes = make(len(names)).fit(matrix).nodes
+    f, cut = int(nodes.feature[0]), float(nodes.threshold[0])
+    values = [float(nodes.value[k]) for k in (nodes.left[0], nodes.right[0])]
+    side = F.when(vector_to_array("features")[f] <= cut, "left").otherwise("right").alias("side")
+    return matrix.groupBy(F.lit(names[f]).alias("feature"), side).agg(
+        F.count("*").alias("customers"), F.sum(features.LABEL).alias("churners")).withColumn(
+        "value", F.round(F.when(F.col("side") == "left", values[0]).otherwise(values[1]), 7))
+
+
+def _sides(best, value):
+    """SQL of both sides of the split in `best` (name, n, ones: left rows and churners)."""
+    return f"""
+SELECT name AS feature, 'left' AS side, lrows AS customers, lones AS churners, {value('lrows', 'lones')} AS value FROM {best}
+UNION ALL SELECT name, 'right', n - lrows, ones - lones, {value('(n - lrows)', '(ones - lones)')} FROM {best}"""
+
+
+W1, W0 = "(n / (2.0 * ones))", "(n / (2.0 * (n - ones)))"
+
+
+def _gini(rows, ones):
+    a, b = f"({W0} * ({rows} - {ones}))", f"({W1} * {ones})"
+    return f"(({a} * {a} + {b} * {b}) / ({a} + {b}))"
+
+
+@query("k7_first_split", with_views(
+    _sides("best", lambda rows, ones: f"round(CAST({W1} * {ones} / ({W1} * {ones} + {W0} * ({rows} - {ones})) AS DOUBLE), 7)"),
+    extra=LONG_FEATURES + f""",
+cum AS (SELECT place, name, x, sum(count(*)) OVER w AS lrows, sum(sum(yy)) OVER w AS lones FROM v GROUP BY place, name, x
+        WINDOW w AS (PARTITION BY place ORDER BY x)),
+best AS (SELECT name, n, ones, lrows, lones FROM cum CROSS JOIN n WHERE lrows >= 2 AND n - lrows >= 2
+         ORDER BY round(CAST({_gini('lrows', 'lones')} + {_gini('(n - lrows)', '(ones - lones)')} AS DOUBLE), 6) DESC, place, x LIMIT 1)"""))
+def k7_first_split(spark, sf):
+    """The best of all thresholds of all features, by weighted Gini impurity."""
+    return _first_split(spark, sf, lambda width: forest.Forest(1, 1, 2, bootstrap=False, features=width))
+
+
+P = "(ones / CAST(n AS DOUBLE))"
+
+
+def _newton(rows, ones):
+    return f"({rows} * {P} - {ones})", f"({rows} * {P} * (1 - {P}))"
+
+
+def _second(rows, ones):
+    g, h = _newton(rows, ones)
+    return f"({g} * {g} / ({h} + 1))"
+
+
+@query("k10_first_split", with_views(
+    _sides("best", lambda rows, ones: f"round(-0.05 * {_newton(rows, ones)[0]} / ({_newton(rows, ones)[1]} + 1), 7)"),
+    extra=LONG_FEATURES + f""",
+ranked AS (SELECT place, name, x, row_number() OVER (PARTITION BY place ORDER BY x) AS k FROM v),
+few AS (SELECT place FROM v GROUP BY place HAVING count(DISTINCT x) <= 255),
+borders AS (SELECT DISTINCT place, x FROM v WHERE place IN (SELECT place FROM few)
+  UNION SELECT DISTINCT r.place, r.x FROM ranked r CROSS JOIN n JOIN (SELECT unnest(range(1, 256)) AS j) ON r.k = greatest(1, CAST(round_even(n * j / CAST(255 AS DOUBLE), 0) AS BIGINT))
+        WHERE r.place NOT IN (SELECT place FROM few)),
+binned AS (SELECT v.place, v.name, v.yy, b.x FROM v ASOF JOIN borders b ON v.place = b.place AND v.x <= b.x),
+cum AS (SELECT place, name, x, sum(count(*)) OVER w AS lrows, sum(sum(yy)) OVER w AS lones FROM binned GROUP BY place, name, x
+        WINDOW w AS (PARTITION BY place ORDER BY x)),
+best AS (SELECT name, n, ones, lrows, lones FROM cum CROSS JOIN n WHERE lrows >= 10 AND n - lrows >= 10
+         ORDER BY round({_second('lrows', 'lones')} + {_second('(n - lrows)', '(ones - lones)')}, 6) DESC, place, x LIMIT 1)"""))
+def k10_first_split(spark, sf):
+    """The first split of second-order boosting over at most 255 bins of each feature."""
+    return _first_split(spark, sf, lambda width: boosting.Boosting(1, boosting.Rules(max_leaves=2)))
+
+
 @query("k11_class_weights", with_views("""
 SELECT label, n AS customers, (SELECT sum(n) FROM n) / CAST((SELECT count(*) FROM n) * n AS DOUBLE) AS weight FROM n""",
     extra=f"n AS (SELECT {label('churn')} AS label, count(*) AS n FROM customer_360 WHERE churn IS NOT NULL GROUP BY 1)"))
