@@ -1,15 +1,26 @@
 """Exact top-k by inner product with a three-phase uniform threshold.
 
-The dimensions are cut into `lists` blocks; the inner product within a block is a local score, and the
-score of a vector is the sum of its local scores. Queries are taken in blocks of at most
-`query_block`, so what is broadcast has a fixed bound.
-
-1. Every task gathers, for each query, the heads of its local lists. Their full scores give a lower
-   bound of the k-th best score: the safe cutoff, which is broadcast.
-2. A vector can only reach the cutoff if one of its local scores exceeds the least local score of the
-   task's vectors by an equal share of what is missing (the uniform threshold). Each task collects
-   those entries and drops entries whose seen scores plus the threshold for unseen ones fall short.
-3. The rest are resolved exactly; those at or above the cutoff are returned and ranked.
+The dimensions are cut into `lists` blocks, those of most energy first; the inner product within a block
+is a local score, and the score of a vector is the sum of its local scores. What is not yet computed is
+bounded by the norms of the blocks. Queries are taken in blocks of at most `query_block`, so what is
+broadcast has a fixed bound.
+
+1. Every task gathers, for each query, the heads of its first local list. Only their full scores are
+   computed; the k-th best of all is a lower bound of the k-th best score: the safe cutoff, which is
+   broadcast.
+2. With m lists, a vector can only reach the cutoff if its local scores and the bounds of the lists to
+   come add up to it. Pieces of vectors whose norms miss the cutoff of a query are skipped whole, then
+   the first list is computed, and later lists only for entries that are still sufficient.
+3. What is left is resolved exactly; entries at or above the cutoff are returned and ranked.
+
+Components are whole numbers of any size. Local scores are exact doubles where no sum can pass 2**53;
+elsewhere they carry a bound of their rounding errors, entries are kept unless they miss the cutoff by more
+than that, and scores are resolved in integers of any length. A score among the results that does not
+fit 64 bits ends the query with SCORE_OUT_OF_RANGE.
+
+Rows that repeat a vec_id count once, with the greatest vector; shorter vectors count as filled with zeros;
+null vectors and those with null or non-finite components take no part; ties go to the smaller id.
+Columns other than vec_id and embedding are not read. An empty table gives no rows.
 """
 
 import numpy as np
@@ -18,115 +29,175 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ebbtide.llm.sending import broadcast, received
-from ebbtide.llm.vectors import best, found_rows, leading, matrix, usable
+from ebbtide.llm.vectors import best, matrix, usable
 from ebbtide.session import materialize, new_path
 
-LIMIT = 2**27
-EXACT = 2**53
+EXACT, LONG = 2.0**53, 2**63
 ROWS = 1024
+SPARSE = 0.05  # below this share of survivors, single products are cheaper than whole rows
+FOUND = "query_id long, vec_id long, score long, fits boolean"
 
 
 def integers(embeddings, scale):
-    """(vec_id, items) with floor(scale * x); components beyond 2**27 in size are set to that bound,
-    so that all sums stay within 64 bits."""
-    items = F.transform("embedding", lambda x: F.floor(
-        F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), x.cast("double") * scale))).cast("int"))
-    return usable(embeddings).select("vec_id", items.alias("items"))
+    """(vec_id, items) with floor(scale * x) as doubles: from 2**52 on every double is whole."""
+    def whole(x):
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+    return usable(embeddings).select("vec_id", F.transform("embedding", whole).alias("items"))
+
+
+def by_energy(vectors, width):
+    """Dimensions in descending order of their sums of squares."""
+    sums = (vectors.select(F.posexplode("items").alias("at", "x")).groupBy("at")
+            .agg(F.sum(F.col("x") * F.col("x")).alias("energy")).collect())  # one row per dimension
+    energy = np.zeros(width)
+    for r in sums:
+        energy[r["at"]] = r.energy
+    return np.argsort(-energy, kind="stable")
 
 
 class Block:
     """Queries of one block, cut into lists of dimensions."""
 
-    def __init__(self, rows, width, lists):
+    def __init__(self, rows, order, lists):
         self.ids = np.array([r.vec_id for r in rows], np.int64)
-        self.items = np.zeros((len(rows), width), np.int64)
+        self.order, self.width = order, len(order)
+        items = np.zeros((len(rows), self.width))
         for k, r in enumerate(rows):
-            self.items[k, :len(r["items"])] = r["items"]
-        self.width = width
-        self.edges = np.linspace(0, width, min(lists, max(width, 1)) + 1).astype(int)
-        self.peak = int(abs(self.items).max(initial=0))
-
-    def parts(self, column):
-        """Local scores of a list column: one matrix queries x vectors for each list, exact integers
-        (held as doubles where sums cannot pass 2**53)."""
-        x = matrix(column, self.width, np.int64)
-        small = self.peak * int(abs(x).max(initial=0)) * max(self.width, 1) < EXACT
-        kind = np.float64 if small else np.int64
-        x, q = x.astype(kind), self.items.astype(kind)
-        return [q[:, a:b] @ x[:, a:b].T for a, b in zip(self.edges, self.edges[1:])]
-
-    def foreign(self, ids):
-        return self.ids[:, None] != ids[None, :]
-
-
-def heads(block, parts, foreign, k):
-    """The full scores of the k first entries of each local list, without doubles; others -inf."""
-    total = np.where(foreign, sum(parts).astype(float), -np.inf)
-    picked = np.zeros(total.shape, bool)
-    for part in parts:
-        np.put_along_axis(picked, best(np.where(foreign, part.astype(float), -np.inf), k), True, axis=1)
-    return np.where(picked, total, -np.inf)
-
-
-def gathered(vectors, shared, k):
-    """Phase 1: (query, score), the k best of the gathered entries of each task."""
+            items[k, :len(r["items"])] = r["items"]
+        self.items = items[:, order]
+        self.edges = np.linspace(0, self.width, min(lists, max(self.width, 1)) + 1).astype(int)
+        self.spans = list(zip(self.edges, self.edges[1:]))
+        self.norms = [np.linalg.norm(self.items[:, a:b], axis=1) for a, b in self.spans]
+        self.peak = abs(self.items).max(initial=0)
+
+    def piece(self, batch):
+        """(ids, items, norms by list, whether products are exact) of a batch of vectors."""
+        x = matrix(batch.column(1), self.width, np.float64)[:, self.order]
+        exact = self.peak * abs(x).max(initial=0) * max(self.width, 1) < EXACT
+        return batch.column(0).to_numpy(), x, [np.linalg.norm(x[:, a:b], axis=1) for a, b in self.spans], exact
+
+    def error(self, norms, exact):
+        """Bound of the rounding errors of all scores of a piece (queries x vectors)."""
+        if exact:
+            return 0.0
+        sizes = np.sqrt(sum(n * n for n in self.norms))[:, None] * np.sqrt(sum(n * n for n in norms))[None, :]
+        return sizes * (4 * self.width + 8) * 2.0**-53
+
+
+def pair_scores(q, x, query, at, span):
+    a, b = span
+    return np.einsum("ij,ij->i", q[query, a:b], x[at, a:b])
+
+
+def gathered(vectors, shared, k, seen):
+    """Phase 1: (query, score), lower bounds of the k best gathered entries of each task."""
     def run(batches):
         block = received(shared)
         top = np.full((len(block.ids), k), -np.inf)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                found = heads(block, block.parts(part.column(1)), block.foreign(part.column(0).to_numpy()), k)
-                both = np.concatenate([top, found], axis=1)
+            for start in range(0, batch.num_rows, ROWS):
+                ids, x, norms, exact = block.piece(batch.slice(start, ROWS))
+                if not block.spans:
+                    continue
+                a, b = block.spans[0]
+                first = block.items[:, a:b] @ x[:, a:b].T
+                first[block.ids[:, None] == ids[None, :]] = -np.inf
+                heads = best(first, k)
+                query, at = np.repeat(np.arange(len(block.ids)), heads.shape[1]), heads.ravel()
+                scores = first[query, at] + sum(pair_scores(block.items, x, query, at, s) for s in block.spans[1:])
+                error = block.error(norms, exact)
+                scores = scores - (error[query, at] if not exact else 0.0)
+                seen[0].add(first.size * (b - a) + len(query) * (block.width - b))
+                both = np.concatenate([top, scores.reshape(heads.shape)], axis=1)
                 top = np.take_along_axis(both, best(both, k), axis=1)
         query, _ = np.nonzero(np.isfinite(top))
         yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(top[np.isfinite(top)])], ["query", "score"])
     return vectors.mapInArrow(run, "query int, score double")
 
 
-def sufficient(parts, foreign, cutoff):
-    """Phases 2 and 3 for one piece: positions (query, vector) and exact scores at or above the cutoff.
-    Bounds get a little slack for rounding; what is returned is decided on the exact scores."""
-    least = [p.min(axis=1, keepdims=True) for p in parts]
-    missing = cutoff - sum(least).astype(float)
-    slack = 1e-9 * abs(np.where(np.isfinite(missing), missing, 0))
-    threshold, upper = missing / len(parts), np.zeros(foreign.shape)
-    hit = np.zeros(foreign.shape, bool)
-    for part, low in zip(parts, least):
-        above = (part - low).astype(float)
-        seen = above * len(parts) >= missing - slack
-        upper += np.where(seen, above, threshold)
-        hit |= seen
-    hit &= foreign & ((upper >= missing - slack) | ~np.isfinite(missing))
-    query, at = np.nonzero(hit)
-    scores = sum(p[query, at] for p in parts).astype(np.int64)
-    keep = scores >= cutoff[query, 0]
-    return query[keep], at[keep], scores[keep]
-
-
-def resolved(vectors, shared, cutoffs, k):
-    """Phases 2 and 3: (query_id, vec_id, score) of the vectors that reach the query's cutoff; of a
+def sufficient(block, ids, x, norms, exact, cutoff, seen):
+    """Phase 2 for one piece: positions (query, vector) of the entries that may reach the cutoff, and
+    their scores as doubles."""
+    slack = block.error(norms, exact)
+    bounds = [(q[:, None] * n[None, :]) * (1 + 1e-12) for q, n in zip(block.norms, norms)]
+    upper = sum(bounds) + slack
+    alive = np.flatnonzero((upper >= cutoff).any(axis=1))  # queries that the piece's norms may serve
+    if not len(alive) or not len(ids):
+        return alive[:0], alive[:0], np.empty(0)
+    cut, own = cutoff[alive], block.ids[alive]
+    slack = slack[alive] if not exact else 0.0
+    scores, query, at = np.zeros((len(alive), len(ids))), None, None
+    for n, (a, b) in enumerate(block.spans):
+        rest = sum((bound[alive] for bound in bounds[n + 1:]), np.zeros(scores.shape))  # of the lists to come
+        if query is None:
+            scores += block.items[alive, a:b] @ x[:, a:b].T
+            seen[0].add(scores.size * (b - a))
+            keep = (scores + rest * (1 + 1e-9) + slack >= cut) & (own[:, None] != ids[None, :])
+            if keep.mean() < SPARSE:
+                query, at = np.nonzero(keep)
+        else:
+            scores[query, at] += pair_scores(block.items, x, alive[query], at, (a, b))
+            seen[0].add(len(query) * (b - a))
+            keep = scores[query, at] + rest[query, at] * (1 + 1e-9) + (slack[query, at] if not exact else 0.0) >= cut[query, 0]
+            query, at = query[keep], at[keep]
+    if query is None:
+        query, at = np.nonzero(keep)
+    return alive[query], at, scores[query, at]
+
+
+def resolved_scores(block, x, query, at, scores, exact):
+    """Phase 3: whole scores, as Python integers where doubles could round."""
+    if exact:
+        return scores.astype(np.int64).astype(object)
+    whole = [np.array([int(v) for v in row], object) for row in (x[k] for k in np.unique(at))]
+    vectors = dict(zip(np.unique(at), whole))
+    queries = {q: np.array([int(v) for v in block.items[q]], object) for q in np.unique(query)}
+    return np.array([(queries[q] * vectors[k]).sum() for q, k in zip(query, at)], object)
+
+
+def first_of_each(query, ids, scores, k):
+    """Positions of each query's k highest scores, ties to smaller ids."""
+    order, out, count = sorted(range(len(query)), key=lambda j: (query[j], -scores[j], ids[j])), [], {}
+    for j in order:
+        count[query[j]] = count.get(query[j], 0) + 1
+        if count[query[j]] <= k:
+            out.append(j)
+    return out
+
+
+def resolved(vectors, shared, cutoffs, k, seen):
+    """Phases 2 and 3: (query_id, vec_id, score, fits) of the vectors that reach the query's cutoff; of a
     batch, the k first by score and id, as no others can be among the k first of all."""
     def run(batches):
         block, cutoff = received(shared), received(cutoffs)[:, None]
         for batch in batches:
-            found = []
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = part.column(0).to_numpy()
-                query, place, scores = sufficient(block.parts(part.column(1)), block.foreign(ids), cutoff)
-                found.append((query, ids[place], scores))
-            if found:
-                query, ids, scores = (np.concatenate(x) for x in zip(*found))
-                kept = leading(query, ids, scores, k)
-                yield found_rows(block.ids[query[kept]], ids[kept], scores[kept], pa.int64())
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object))]
+            for start in range(0, batch.num_rows, ROWS):
+                ids, x, norms, exact = block.piece(batch.slice(start, ROWS))
+                seen[1].add(2 * len(block.ids) * len(ids) * block.width)
+                query, at, scores = sufficient(block, ids, x, norms, exact, cutoff, seen)
+                found.append((query, ids[at], resolved_scores(block, x, query, at, scores, exact)))
+            query, ids, scores = (np.concatenate(c) for c in zip(*found))
+            kept = first_of_each(query, ids, scores, k)
+            fits = [-LONG <= scores[j] < LONG for j in kept]
+            held = [min(max(int(scores[j]), -LONG), LONG - 1) for j in kept]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block.ids[query[kept]], pa.int64()), pa.array(ids[kept], pa.int64()), pa.array(held, pa.int64()),
+                 pa.array(fits, pa.bool_())], ["query_id", "vec_id", "score", "fits"])
+    return vectors.mapInArrow(run, FOUND)
 
 
 def ranked(found, k):
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return (found.withColumn("rank", order.cast("int")).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    names = ["query_id", "rank", "vec_id", *(c for c in found.columns if c not in ("query_id", "vec_id"))]
+    return found.withColumn("rank", order.cast("int")).where(F.col("rank") <= k).select(names)
+
+
+def checked(found):
+    """Results whose scores all fit."""
+    wrong = F.raise_error(F.lit("SCORE_OUT_OF_RANGE: an inner product does not fit 64 bits")).cast("long")
+    return found.withColumn("score", F.when(F.col("fits"), F.col("score")).otherwise(wrong)).drop("fits")
 
 
 def blocks_of(rows, size):
@@ -141,25 +212,30 @@ def blocks_of(rows, size):
         yield part
 
 
-def search(embeddings, every=100, k=10, scale=1024.0, lists=2, query_block=2048):
+def search(embeddings, every=100, k=10, scale=1024.0, lists=4, query_block=2048, work=None):
     """query_id, rank, vec_id, score: the k highest integer inner products of each vector whose id is
-    divisible by `every` with all others; ties go to the smaller id. Each block of queries costs two
-    passes over the vectors and no shuffle of them. Shorter vectors count as filled with zeros."""
+    divisible by `every` with all others. Each block of queries costs two passes over the vectors
+    and no shuffle of them. A dict given as `work` gets the numbers of single products `done` and
+    `possible` in both passes (tasks that Spark repeats count again)."""
     vectors = materialize(integers(embeddings, scale), "integers")
     spark = vectors.sparkSession
     width = vectors.agg(F.max(F.size("items"))).first()[0] or 0
+    order = by_energy(vectors, width)
+    seen = [spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)]
     path = new_path(spark, "found")
     queries = vectors.where(F.col("vec_id") % every == 0)
     for rows in blocks_of(queries.toLocalIterator(), query_block):
-        block = Block(rows, width, lists)
+        block = Block(rows, order, lists)
         shared = broadcast(spark, block)
-        order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
-        kth = (gathered(vectors, shared, k).withColumn("rank", order).where(F.col("rank") == k)
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+        kth = (gathered(vectors, shared, k, seen).withColumn("rank", place).where(F.col("rank") == k)
                .select("query", "score").collect())
         cutoff = np.full(len(rows), -np.inf)
         cutoff[[r.query for r in kth]] = [r.score for r in kth]
-        found = resolved(vectors, shared, broadcast(spark, cutoff), k)
-        ranked(found, k).write.mode("append").parquet(path)
+        found = resolved(vectors, shared, broadcast(spark, cutoff), k, seen)
+        checked(ranked(found, k)).write.mode("append").parquet(path)
         shared.unpersist()
+    if work is not None:
+        work.update(done=int(seen[0].value), possible=int(seen[1].value))
     kind = "query_id long, rank int, vec_id long, score long"
     return spark.read.schema(kind).parquet(path) if width or not queries.isEmpty() else spark.createDataFrame([], kind)

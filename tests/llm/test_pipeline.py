@@ -78,7 +78,7 @@ def test_odd_and_empty_input(spark, odd_documents, no_documents):
 
 def test_queries_are_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
 
 
 def test_sql_of_urls(spark):

@@ -51,6 +51,50 @@ def test_exact_search_of_large_components(spark):
     assert found(topk.search(table(spark, rows), every=50)) == brute(rows, 50, 10, integer)
 
 
+def test_components_of_any_size(spark):
+    """Sums beyond 2**53, products beyond 2**63 that cancel out, and components beyond 64 bits."""
+    near = [(200_000, [1.0]), (300_000, [0.0]), (150_000, [5.0])]
+    rows = [(0, [300_000.0, 5.0]), (1, [200_000.0, 0.0]), (2, [150_000.0, 5.0]), *((k + 10, v) for k, (_, v) in enumerate(near))]
+    assert [found(topk.search(table(spark, rows)))[0, n] for n in (1, 2)] == [(1, 62914560000000000), (2, 47185920026214400)]
+    rng = np.random.default_rng(4)
+    wild = [(k, (rng.normal(size=5) * 10.0 ** rng.integers(0, 5, 5)).tolist()) for k in range(400)]
+    wild += [(1000 + k, [3e8, x, 0.0, 0.0, 0.0]) for k, x in enumerate((0.0, 1.0, 1.0, 2.0))]
+    vectors = {i: [int(np.floor(np.float64(np.float32(x)) * 1024)) for x in v] for i, v in wild}
+    assert found(topk.search(table(spark, [r for r in wild if r[0] != 1000]))) == brute_ints(vectors, 1000)
+    huge = [(100, [0.0, 1.0]), (1, [3e38, 2.0]), (2, [-3e38, 3.0])]
+    assert found(topk.search(table(spark, huge))) == {(100, 1): (2, 3 * 2**20), (100, 2): (1, 2 * 2**20)}
+    with pytest.raises(Exception, match="SCORE_OUT_OF_RANGE"):
+        topk.search(table(spark, [(100, [3e30]), (1, [1e30])]))
+
+
+def brute_ints(vectors, left_out):
+    vectors = {i: v for i, v in vectors.items() if i != left_out}
+    out = {}
+    for q in (i for i in vectors if i % 100 == 0):
+        best = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q)[:10]
+        out.update({(q, n): (i, -s) for n, (s, i) in enumerate(best, 1)})
+    return out
+
+
+def test_threshold_saves_work(spark):
+    """Most vectors are short in all lists, some in the second one: few products are needed."""
+    rng = np.random.default_rng(5)
+    rows = [(k, (rng.normal(size=8) * (1.0 if k % 50 == 0 else 0.02)).tolist()) for k in range(4000)]
+    work = {}
+    out = topk.search(table(spark, rows), every=100, lists=4, work=work)
+    assert found(out) == brute(rows, 100, 10, integer)
+    assert 0 < work["done"] < 0.8 * work["possible"]
+
+
+def test_columns_that_clash(spark):
+    """Names of the results as columns of the input."""
+    rows = random_rows(6, 200)
+    kind = "rank string, score string, leaf string, query_id string, vec_id long, embedding array<float>"
+    odd = spark.createDataFrame([("r", "s", "l", "q", i, v) for i, v in rows], kind)
+    assert found(topk.search(odd, every=50)) == brute(rows, 50, 10, integer)
+    assert found(ann.search(odd, every=50)) == brute(rows, 50, 20, lambda v: v)
+
+
 def test_exact_search_with_few_or_no_rows(spark):
     rows = [(100, [1.0, 0.0]), (7, [0.5, 0.5]), (9, [0.5, 0.5])]
     assert found(topk.search(table(spark, rows))) == {(100, 1): (7, 512 * 1024), (100, 2): (9, 512 * 1024)}
