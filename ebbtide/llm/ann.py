@@ -176,7 +176,15 @@ def chunked(rows, key, size, name, *more):
     counts = rows.groupBy("leaf").agg(F.ceil(F.count("*") / size).alias("chunks"))
     return (rows.join(counts, "leaf").withColumn("chunk", F.pmod(F.xxhash64(key), "chunks"))
             .groupBy("leaf", "chunk").agg(F.collect_list(F.struct(F.col(key).alias("id"), "embedding", *more)).alias(name))
-            .drop("chunk"))
+            .withColumnRenamed("chunk", f"{name}_chunk"))
+
+
+def pairs_of_chunks(queries, indexed):
+    """Chunks of queries next to chunks of vectors of the same leaf. A leaf that holds many vectors or is
+    visited by many queries is dealt to many tasks."""
+    pairs = chunked(queries, "query_id", QUERIES, "queries", "bound").join(chunked(indexed, "vec_id", CHUNK, "items"), "leaf")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given is not made smaller
+    return pairs.repartition(tasks, "leaf", "queries_chunk", "items_chunk")
 
 
 def compared(pairs, width, k):
@@ -218,6 +226,4 @@ def search(embeddings, every=20, k=20, recall=0.96, sample=16_384, leaf_rows=512
     indexed = materialize(index(vectors, shared), "leaves")
     visits = calibrated(tree, indexed, rows[:trials], ids[:trials], k, recall)
     queries = visited(vectors.where(F.col("vec_id") % every == 0), shared, visits, k)
-    pairs = chunked(materialize(queries, "visits"), "query_id", QUERIES, "queries", "bound").join(
-        chunked(indexed, "vec_id", CHUNK, "items"), "leaf")
-    return ranked(compared(pairs, size[1], k), k)
+    return ranked(compared(pairs_of_chunks(materialize(queries, "visits"), indexed), size[1], k), k)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ebbtide.llm import ann, topk
 
@@ -127,6 +128,16 @@ def test_tree_search_of_equal_vectors(spark):
     assert out == brute(rows, 500, 20, lambda v: v)
 
 
+def test_hot_leaf_is_compared_by_many_tasks(spark):
+    """One leaf holds all vectors and is visited by all queries: its pairs of chunks are dealt out."""
+    rows = [(k, [1.0, 2.0, 3.0]) for k in range(6000)]
+    vectors = table(spark, rows).select("vec_id", "embedding").selectExpr("0 AS leaf", "*")
+    queries = vectors.selectExpr("leaf", "vec_id AS query_id", "-1.0D AS bound", "embedding")
+    pairs = ann.pairs_of_chunks(queries, vectors)
+    held = pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in held) >= 36 and len(held) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_tree_search_with_few_or_no_rows(spark):
     rows = [(20, [1.0, 0.0]), (7, [0.5, 0.5]), (9, [0.0, 0.0])]
     assert found(ann.search(table(spark, rows))) == {(20, 1): (7, 0.5)}
