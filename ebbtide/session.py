@@ -1,8 +1,10 @@
 """Session settings and the shared folder for intermediate tables."""
 
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -57,20 +59,50 @@ def file_system(spark, path):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def write_file(spark, path, data):
-    """Bytes to a file, whole or not at all."""
+def create_file(spark, path, data):
+    """Bytes to a new file, whole or not at all; False if the file is there already. Of several
+    writers one succeeds: by a hard link in a local folder, elsewhere by a rename that refuses an
+    existing target (atomic on HDFS and stores like it)."""
     fs, place = file_system(spark, path)
-    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    draft = jvm.Path(f"{path}.{uuid.uuid4().hex}.draft")
     out = fs.create(draft)
     out.write(bytearray(data))
     out.close()
-    fs.rename(draft, place)
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(draft.toUri().getPath(), place.toUri().getPath())
+        else:
+            options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+            options[0] = jvm.Options.Rename.NONE
+            jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(draft, place, options)
+    except FileExistsError:
+        return False
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        fs.delete(draft, False)
+    return True
+
+
+def read_file(spark, path):
+    """Text of a small file."""
+    fs, place = file_system(spark, path)
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
-def list_files(spark, folder):
-    """Names in a folder, none if it does not exist."""
+def file_times(spark, folder):
+    """{name in a folder: seconds since 1970 of its last change}, empty if it does not exist."""
     fs, place = file_system(spark, folder)
-    return sorted(f.getPath().getName() for f in fs.listStatus(place)) if fs.exists(place) else []
+    if not fs.exists(place):
+        return {}
+    return {f.getPath().getName(): f.getModificationTime() / 1000 for f in fs.listStatus(place)}
 
 
 def drop_path(spark, path):

@@ -2,12 +2,18 @@
 
 Rows lie in folders by a hash bucket of their id. An upsert rewrites the buckets that its batch touches,
 an insert only adds files. Finished files come into force by a small pointer file that names, for each
-bucket, the versions that hold it; so readers never see a half-written table, nothing is overwritten
-while it is read, and the table outlives the session. Versions that neither the current nor the
-previous pointer names are dropped.
+bucket, the folders that hold it with their number of rows and range of ids; so readers never see a
+half-written table, nothing is overwritten while it is read, and the table outlives the session.
+
+Writers need no lock. Each writes folders of its own name and then creates the pointer that follows the
+one it started from. Creating it fails if another writer was first; the loser drops its folders and
+starts again from the new state. Folders and pointers that are no longer in force stay for `retain`
+seconds (a day), which must exceed the longest read and the longest write.
 """
 
 import json
+import time
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -16,7 +22,7 @@ from pyspark.sql import types as T
 from ebbtide.functions.columns import col, is_text, number
 from ebbtide.functions.names import find_column
 from ebbtide.operators.rank import ROWS_PER_BUCKET, ranged
-from ebbtide.session import drop_path, list_files, materialize, shared_folder, write_file
+from ebbtide.session import create_file, drop_path, file_times, materialize, read_file, shared_folder
 
 TEXT, MONEY, SCORE = T.StringType(), T.DecimalType(12, 2), T.DecimalType(8, 2)
 
@@ -100,10 +106,14 @@ def numbered(fresh, base, rows_per_range=ROWS_PER_BUCKET):
     customer_id, counted inside ranges and shifted by the sizes of the ranges before."""
     fresh = materialize(fresh, "fresh")
     n = fresh.count()
-    rows = ranged(fresh, ["first_seq", "customer_id"], n, rows_per_range)
+    order = ["first_seq", "customer_id"]
+    if n <= rows_per_range:  # a single range needs neither cuts nor shifts
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+        return n, fresh.withColumn("id", F.lit(base) + place)
+    rows = ranged(fresh, order, n, rows_per_range)
     shift = (rows.groupBy("bucket").agg(F.count("*").alias("m"))
              .select("bucket", (F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).alias("shift")))
-    within = F.row_number().over(Window.partitionBy("bucket").orderBy("first_seq", "customer_id"))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
     return n, (rows.withColumn("within", within).join(shift, "bucket")
                .withColumn("id", F.lit(base) + F.col("shift") + F.col("within")).drop("bucket", "shift", "within"))
 
@@ -121,59 +131,94 @@ def in_table_form(fresh):
                         F.current_timestamp().alias("created_at"))
 
 
+class WriteConflict(RuntimeError):
+    """Other writers were first in every attempt."""
+
+
 class CustomerTable:
     """A named customer table in a folder that all executors reach."""
 
-    def __init__(self, spark, name="customers", buckets=16, folder=None):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark, name="customers", buckets=16, folder=None, retain=86_400, attempts=20):
+        self.spark, self.buckets, self.retain, self.attempts = spark, buckets, retain, attempts
         self.folder = folder or f"{shared_folder(spark)}/{name}"
         self.rejected = 0
 
     def create(self):
         if not self._pointers():
-            self._commit({}, 0, 0)
+            self._commit({}, 0, {"parts": {}, "version": -1, "retired": {}})
         return self
 
     def _pointers(self):
-        return [f for f in list_files(self.spark, self.folder) if f.endswith(".json")]
-
-    def _state(self, name=None):
-        name = name or self._pointers()[-1]
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/{name}").collect()))
-
-    def _commit(self, parts, last_id, version):
-        state = {"parts": parts, "last_id": last_id, "version": version}
-        write_file(self.spark, f"{self.folder}/pointer-{version:09d}.json", json.dumps(state).encode())
-        *old, _, _ = [None, None, *self._pointers()]
-        held = {f"v{v}" for p in self._pointers()[-2:] for vs in self._state(p)["parts"].values() for v in vs}
-        for name in [*filter(None, old), *list_files(self.spark, self.folder)]:
-            if name in old or (name.startswith("v") and name not in held and int(name[1:]) < version):
-                drop_path(self.spark, f"{self.folder}/{name}")
+        return sorted(f for f in file_times(self.spark, self.folder) if f.endswith(".json"))
+
+    def _state(self):
+        return json.loads(read_file(self.spark, f"{self.folder}/{self._pointers()[-1]}"))
+
+    def _states(self):
+        """The state in force, again for each attempt to commit."""
+        for attempt in range(self.attempts):
+            yield self._state()
+            time.sleep(0.05 * attempt)
+        raise WriteConflict(f"{self.folder}: other writers were first in {self.attempts} attempts")
+
+    def _commit(self, parts, last_id, before):
+        """Let the parts follow the state `before`; False if another state follows it already."""
+        now, version = time.time(), before["version"] + 1
+        held = _folders(parts)
+        retired = {**before["retired"], **dict.fromkeys(_folders(before["parts"]) - held, now)}
+        due = {f for f, since in retired.items() if now - since >= self.retain}
+        state = {"parts": parts, "last_id": last_id, "version": version,
+                 "retired": {f: since for f, since in retired.items() if f not in due}}
+        if not create_file(self.spark, f"{self.folder}/pointer-{version:09d}.json", json.dumps(state).encode()):
+            return False
+        self._clean(due, held | set(state["retired"]))
+        return True
+
+    def _clean(self, due, named):
+        """Drop what is out of force for `retain` seconds, and what failed writers left."""
+        now, times = time.time(), file_times(self.spark, self.folder)
+        pointers = sorted(f for f in times if f.endswith(".json"))
+        due = due | {old for old, new in zip(pointers, pointers[1:]) if now - times[new] >= self.retain}
+        due |= {f for f, since in times.items()
+                if f not in pointers and f not in named and now - since >= self.retain}
+        for name in due & set(times):
+            drop_path(self.spark, f"{self.folder}/{name}")
 
     def _bucket(self):
         """Bucket of a row; rows without an id are spread by their number."""
         return F.pmod(F.coalesce(F.xxhash64(F.nullif("customer_id", F.lit(""))), F.lit(0))
                       + F.when(F.col("customer_id").isNull(), F.col("id")).otherwise(0), F.lit(self.buckets)).cast("int")
 
-    def read(self, only=None):
-        """The table, or the given buckets of it."""
-        parts = self._state()["parts"]
-        paths = [f"{self.folder}/v{v}/bucket={b}" for b, vs in parts.items() if only is None or int(b) in only for v in vs]
+    def _rows(self, state, wanted):
+        """Rows of the parts for which wanted(bucket, rows, smallest id, largest id) holds."""
+        paths = [f"{self.folder}/{f}/bucket={b}" for b, held in state["parts"].items()
+                 for f, *facts in held if wanted(int(b), *facts)]
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*paths)
 
+    def read(self, only=None):
+        """The table, or the given buckets of it."""
+        return self._read(self._state(), only)
+
+    def _read(self, state, only=None):
+        return self._rows(state, lambda bucket, *_: only is None or bucket in only)
+
     def _store(self, rows, state, replaced, added):
-        """Write rows as the next version; the replaced buckets are held by it alone."""
-        version = state["version"] + 1
-        path = f"{self.folder}/v{version}"
-        (rows.select(*SCHEMA.fieldNames()).withColumn("bucket", self._bucket())
-         .write.mode("overwrite").partitionBy("bucket").parquet(path))
-        here = [int(f.split("=")[1]) for f in list_files(self.spark, path) if f.startswith("bucket=")]
-        parts = {b: vs for b, vs in state["parts"].items() if int(b) not in replaced}
-        for b in here:
-            parts[str(b)] = [*parts.get(str(b), []), version]
-        self._commit(parts, state["last_id"] + added, version)
+        """Write rows as a new folder and commit it; the replaced buckets are held by it alone. False,
+        and nothing is left, if another writer was first."""
+        folder = f"v{state['version'] + 1}-{uuid.uuid4().hex[:12]}"
+        path = f"{self.folder}/{folder}"
+        rows.select(*SCHEMA.fieldNames()).withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(path)
+        facts = (self.spark.read.schema("id long, bucket int").parquet(path).groupBy("bucket")
+                 .agg(F.count("*"), F.min("id"), F.max("id")).collect())  # one row per bucket
+        parts = {b: held for b, held in state["parts"].items() if int(b) not in replaced}
+        for bucket, *fact in facts:
+            parts[str(bucket)] = [*parts.get(str(bucket), []), [folder, *fact]]
+        if self._commit(parts, state["last_id"] + added, state):
+            return True
+        drop_path(self.spark, path)
+        return False
 
     def _batch(self, df, order, skip_blank=True):
         """Accepted rows, written once; how many there are."""
@@ -189,33 +234,49 @@ class CustomerTable:
         """Upsert a table of customers; returns how many input rows were stored. The number of
         rejected rows is left in `rejected`."""
         rows, accepted = self._batch(df, order)
-        state, latest = self._state(), materialize(last_rows(rows), "latest")
+        latest = materialize(last_rows(rows), "latest")
         touched = self._touched(latest)
-        current = self.read(touched)
-        fresh = latest.join(current.select("customer_id"), "customer_id", "left_anti")
-        added, fresh = numbered(fresh, state["last_id"])
-        self._store(updated(current, latest).unionByName(in_table_form(fresh)), state, touched, added)
-        return accepted
+        for state in self._states():
+            current = self._read(state, touched)
+            fresh = latest.join(current.select("customer_id"), "customer_id", "left_anti")
+            added, fresh = numbered(fresh, state["last_id"])
+            if self._store(updated(current, latest).unionByName(in_table_form(fresh)), state, touched, added):
+                return accepted
 
     def insert(self, df, order=None):
         """Add new customers; returns how many were added. Of several rows with one id the first is
         taken; rows without an id never clash. Only new files are written."""
         rows, _ = self._batch(df, order, skip_blank=False)
-        state, named = self._state(), materialize(first_rows(rows.where("customer_id IS NOT NULL")), "first")
-        fresh = named.join(self.read(self._touched(named)).select("customer_id"), "customer_id", "left_anti")
+        named = materialize(first_rows(rows.where("customer_id IS NOT NULL")), "first")
+        touched = self._touched(named)
         anonymous = rows.where("customer_id IS NULL").select(
             "customer_id", F.struct(*COLUMNS).alias("new"), F.col("seq").alias("first_seq"))
-        added, fresh = numbered(fresh.unionByName(anonymous), state["last_id"])
-        if added:
-            self._store(in_table_form(fresh), state, (), added)
-        return added
+        for state in self._states():
+            fresh = named.join(self._read(state, touched).select("customer_id"), "customer_id", "left_anti")
+            added, fresh = numbered(fresh.unionByName(anonymous), state["last_id"])
+            if not added or self._store(in_table_form(fresh), state, (), added):
+                return added
 
     def newest(self, limit=1000):
-        return self.read().orderBy(F.desc("id")).limit(int(limit))
+        """The customers of the largest ids. Only parts that can hold one of them are read: going down by
+        smallest id, parts are taken until they hold enough rows; no smaller id is needed."""
+        state, have, floor = self._state(), 0, 0
+        for _, n, low, _ in sorted((f for held in state["parts"].values() for f in held), key=lambda f: -f[2]):
+            have, floor = have + n, low
+            if have >= int(limit):
+                break
+        rows = self._rows(state, lambda bucket, n, low, high: high >= floor)
+        return rows.where(F.col("id") >= floor).orderBy(F.desc("id")).limit(int(limit))
 
     def count(self):
-        return self.read().count()
+        """Number of customers, from the pointer alone."""
+        return sum(n for held in self._state()["parts"].values() for _, n, *_ in held)
 
     def clear(self):
-        state = self._state()
-        self._commit({}, state["last_id"], state["version"] + 1)
+        for state in self._states():
+            if self._commit({}, state["last_id"], state):
+                return
+
+
+def _folders(parts):
+    return {f for held in parts.values() for f, *_ in held}

@@ -1,8 +1,10 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.plans import scoring
-from ebbtide.session import materialize, new_path
+from ebbtide.session import file_times, materialize, new_path
 from ebbtide.sources import files, models, store
 from ebbtide.streaming.scoring import score_stream, upsert_stream
 from workload.views import customer_360, stored, unlabelled
@@ -99,12 +101,66 @@ def test_numbers_that_do_not_fit_are_rejected(spark, customers):
 
 
 def test_table_outlives_its_object_and_drops_old_versions(spark, customers):
+    short = store.CustomerTable(spark, folder=customers.folder, retain=0)
     for k in range(4):
-        customers.save(batch(spark, [(0, "A", str(k), "x")]), "seq")
+        short.save(batch(spark, [(0, "A", str(k), "x")]), "seq")
     again = store.CustomerTable(spark, folder=customers.folder).create()
     assert [r["tenure"] for r in again.read().collect()] == [3]
-    from ebbtide.session import list_files
-    assert list_files(spark, customers.folder) == ["pointer-000000003.json", "pointer-000000004.json", "v3", "v4"]
+    pointer, folder = sorted(file_times(spark, customers.folder))
+    assert pointer == "pointer-000000004.json" and folder.startswith("v4-")
+
+
+def test_readers_keep_their_files(spark, customers):
+    customers.save(batch(spark, [(0, "A", "1", "x")]), "seq")
+    early = customers.read()
+    for k in range(2, 5):
+        customers.save(batch(spark, [(0, "A", str(k), "x")]), "seq")
+    assert [r["tenure"] for r in early.collect()] == [1]
+
+
+def test_a_writer_that_comes_second_starts_again(spark, customers):
+    """Another table object commits between this one's read of the state and its commit."""
+    other = store.CustomerTable(spark, folder=customers.folder)
+    real, meant = customers._store, [
+        lambda: other.save(batch(spark, [(0, "B", "2", "x"), (1, "A", "1", "x")]), "seq"),
+        lambda: other.insert(batch(spark, [(0, "C", "3", "x")]), "seq")]
+
+    def late(*args):
+        if meant:
+            meant.pop(0)()
+        return real(*args)
+    customers._store = late
+    assert customers.save(batch(spark, [(0, "A", "9", "y"), (1, "D", "4", "y")]), "seq") == 2
+    rows = {r["customer_id"]: (r["id"], r["tenure"]) for r in customers.read().collect()}
+    assert rows == {"B": (1, 2), "A": (2, 9), "C": (3, 3), "D": (4, 4)}
+    folders = {f for f in file_times(spark, customers.folder) if f.startswith("v")}
+    state = customers._state()
+    assert folders == store._folders(state["parts"]) | set(state["retired"])
+
+
+def test_writers_side_by_side_lose_nothing(spark, customers):
+    def write(k):
+        store.CustomerTable(spark, folder=customers.folder).save(batch(spark, [(0, f"W{k}", str(k), "x")]), "seq")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    rows = customers.read().collect()
+    assert sorted((r["customer_id"], r["tenure"]) for r in rows) == [(f"W{k}", k) for k in range(4)]
+    assert sorted(r["id"] for r in rows) == [1, 2, 3, 4] and customers.count() == 4
+
+
+def test_writers_give_up_after_their_attempts(spark, customers):
+    customers._commit, customers.attempts = lambda *args: False, 2
+    with pytest.raises(store.WriteConflict):
+        customers.save(batch(spark, [(0, "A", "1", "x")]), "seq")
+
+
+def test_newest_reads_only_parts_that_can_hold_them(spark, customers):
+    customers.save(batch(spark, [(k, f"C{k}", "1", "x") for k in range(100)]), "seq")
+    customers.insert(batch(spark, [(0, "N1", "1", "x"), (1, "N2", "1", "x")]), "seq")
+    assert len(customers.newest(2).inputFiles()) <= 2 < len(customers.newest(3).inputFiles())
+    assert [r["id"] for r in customers.newest(2).collect()] == [102, 101]
+    assert [r["id"] for r in customers.newest(5).collect()] == [102, 101, 100, 99, 98]
+    assert customers.newest(0).count() == 0 and customers.newest(500).count() == customers.count() == 102
 
 
 def test_replacement_character_is_valid_utf8(spark, tmp_path):
