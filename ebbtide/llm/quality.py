@@ -51,11 +51,14 @@ def word_hashes(codes, space):
 class Neighbours:
     """Latent directions and the labelled vectors in them."""
 
-    def __init__(self, rows, labels, dims, seed=5):
+    def __init__(self, rows, labels, dims, seed=5, overwrite=False):
+        """`overwrite`: rows may be centred in place, so that no second matrix is held."""
         self.mean = rows.mean(axis=0)
         seen = (rows > 0).sum(axis=0)
         self.scale = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(rows.dtype)
-        centred = (rows - self.mean) * self.scale
+        centred = rows if overwrite else rows.copy()
+        centred -= self.mean
+        centred *= self.scale
         rng = np.random.default_rng(seed)
         base = np.linalg.qr(centred @ rng.standard_normal((rows.shape[1], dims + 16)).astype(rows.dtype))[0]
         for _ in range(3):
@@ -63,11 +66,14 @@ class Neighbours:
         _, _, directions = np.linalg.svd(base.T @ centred, full_matrices=False)
         self.directions = directions[:dims].T.astype(np.float32)
         self.labels = labels.astype(np.float32)
-        self.vectors = self.project(rows)
+        self.vectors = self.directed(centred)
         self.prior = float(labels.mean())
 
     def project(self, rows):
-        out = ((rows - self.mean) * self.scale).astype(np.float32) @ self.directions
+        return self.directed((rows - self.mean) * self.scale)
+
+    def directed(self, centred):
+        out = centred.astype(np.float32, copy=False) @ self.directions
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     def scores(self, rows, neighbours, power):
@@ -94,11 +100,15 @@ def fit(docs, labels, sample, dims, buckets=BUCKETS):
         for batch in batches:
             rows = [features(t, table, buckets).astype(np.float32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["quality", "features"])
-    rows = texts.mapInArrow(run, FEATURES).orderBy("features").collect()
-    if not rows:
+    rows, marks = np.empty((2 * sample, buckets), np.float32), []
+    for r in texts.mapInArrow(run, FEATURES).orderBy("features").toLocalIterator():
+        if len(marks) == len(rows):  # repeated doc_ids
+            rows = np.concatenate([rows, np.empty_like(rows)])
+        rows[len(marks)] = np.frombuffer(r.features, np.float32)
+        marks.append(r.quality)
+    if not marks:
         return None
-    return Neighbours(np.stack([np.frombuffer(r.features, np.float32) for r in rows]),
-                      np.array([r.quality for r in rows], float), dims)
+    return Neighbours(rows[:len(marks)], np.array(marks, float), dims, overwrite=True)
 
 
 def scored(texts, fitted, table, neighbours, power, buckets):
