@@ -294,11 +294,21 @@ def near_duplicates(docs, size=5, percent=80, chunks=10, chunk_size=6, errors=1,
 
 def filtered(docs, **options):
     """One row of docs, all columns, for each component of near duplicates: the smallest doc_id's.
-    Rows without doc_id and texts without words stay; of rows that repeat a doc_id one stays."""
+    Rows without doc_id and texts without words stay; of rows that repeat a doc_id one stays.
+
+    Ids are shuffled, texts hardly: a bitmap of the ids that go or repeat, broadcast as at most
+    BITMAP_BITS / 64 words, lets all others pass where they are read. Only rows whose bit is set are
+    joined with the ids themselves."""
     found = materialize(near_duplicates(docs, **options), "components")
-    repeated = (found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-                .where("n > 1").select("doc_id"))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    named = found.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    judged = materialize(named.where("n > 1 or not kept"), "judged")
+    word, place = F.floor(bit_of("doc_id") / 64).cast("int"), F.pmod(bit_of("doc_id"), F.lit(64)).cast("int")
+    bits = F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")
+    bitmap = judged.select(word.alias("word"), place.alias("place")).groupBy("word").agg(bits)
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = rows.withColumns({"word": word, "place": place}).join(F.broadcast(bitmap), "word", "left")
+    held = F.col("doc_id").isNotNull() & F.coalesce(F.getbit("bits", F.col("place")) == 1, F.lit(False))
+    left = (rows.where(held).select("doc_id", "doc")
+            .join(judged.where("not kept").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"]))
+    return rows.where(~held).select("doc").unionByName(left.select("doc")).select("doc.*")
