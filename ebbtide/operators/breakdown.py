@@ -332,8 +332,11 @@ def one_hot_long(df, columns, key):
             .select(col(key), F.concat_ws("_", "feature", "value").alias("feature")))
 
 
-def distinct_levels(df, columns):
-    """{column: sorted distinct text}. The wide form has a column per level; what does not fit a table
-    has the long form."""
-    rows = long_form(df, columns).where(F.col("value").isNotNull()).distinct().collect() if columns else []
+def distinct_levels(df, columns, most=10_000):
+    """{column: sorted distinct text}. The wide form has a column per level; beyond `most` levels it is
+    refused, and `one_hot_long` or `encoding.Encoding` take any number."""
+    rows = (long_form(df, columns).where(F.col("value").isNotNull()).distinct().limit(most + 1).collect()
+            if columns else [])
+    if len(rows) > most:
+        raise ValueError(f"more than {most} levels; use one_hot_long or encoding.Encoding")
     return {c: sorted(r["value"] for r in rows if r["feature"] == c) for c in columns}

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import fixed
 from ebbtide.operators import boosting, breakdown, features, forest, metrics, models
+from ebbtide.operators.encoding import Encoding
 from ebbtide.plans import scoring, training
 from ebbtide.session import new_path
 from ebbtide.sources import files
@@ -79,6 +80,16 @@ def k2_processed_dataset(spark, sf):
     return features.processed_dataset(training_customers(spark, sf))
 
 
+@query("k4_category_codes", with_views("SELECT customer_id, feature, id FROM cells JOIN levels USING (feature, value)", extra="""
+cells AS (SELECT customer_id, 'contract' AS feature, contract AS value FROM customer_360
+  UNION ALL SELECT customer_id, 'customer_key', CAST(customer_key AS VARCHAR) FROM customer_360),
+levels AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS id
+  FROM (SELECT DISTINCT feature, value FROM cells WHERE value IS NOT NULL))"""))
+def k4_category_codes(spark, sf):
+    d = stored(customer_360, spark, sf)
+    return Encoding.fit(d, ["contract", "customer_key"]).ids(d, "customer_id")
+
+
 @query("k4_preprocessing", with_views("SELECT customer_id, " + ", ".join(
     f"round(({c} - (SELECT avg({c}) FROM f)) / (SELECT stddev_samp({c}) FROM f), 6) AS {c}" for c in NUMBERS) + ", " + ", ".join(
     f"CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS DOUBLE) AS \"{c}_{v}\"" for c, vs in LEVELS.items() for v in vs) + " FROM f", extra=FILLED))
