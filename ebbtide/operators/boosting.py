@@ -5,8 +5,10 @@ Trees grow best first: of all leaves the one whose split gains most is split nex
 split only; its sibling is the parent less that child. Gradients and second derivatives are rounded to
 multiples of 2**-24, so sums are exact and the model does not depend on the order or partitions of rows.
 
-Large tables are summed by Spark, a pass for all splits that are likely next. Where the bins of all rows
-are at most `local_cells`, the rounds run in one task; the trees are the same.
+Large tables are summed by Spark, a job for all splits that are likely next. Rows are kept as blocks of
+bins, one feature after the other; each task adds up its blocks, and the few sums of the tasks are added
+up on the driver, or by Spark where there are many. Where the bins of all rows are at most
+`local_cells`, the rounds run in one task; the trees are the same.
 """
 
 import sys
@@ -24,9 +26,11 @@ from ebbtide.session import drop_path, new_path
 
 SCALE = 2.0**24
 LOCAL_CELLS = 1 << 23
+CELLS_AT_ONCE = 1 << 18
 LEAST_SECOND = 1e-3
-REFRESH = 10
+REFRESH = 5
 NODES = "parts array<binary>"
+BLOCKS = "y binary, codes binary"
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -83,11 +87,13 @@ def derivatives(raw, y):
 
 
 def binned(codes, g, h, bins):
-    """Sums (3, features, bins); exact in doubles, as a batch holds less than 2**29 rows."""
-    out = np.empty((3, codes.shape[1], bins), np.int64)
-    for f in range(codes.shape[1]):
+    """Sums (3, features, bins) of codes (features x rows); exact in doubles, as a task holds less than
+    2**29 rows."""
+    out = np.empty((3, len(codes), bins), np.int64)
+    for f, own in enumerate(codes):
+        own = own.astype(np.intp)
         for k, weight in enumerate((None, g, h)):
-            out[k, f] = np.bincount(codes[:, f], weight, bins)
+            out[k, f] = np.bincount(own, weight, bins)
     return out
 
 
@@ -163,15 +169,15 @@ def grow_tree(rows, rules):
 
 
 class LocalRows:
-    """All rows in one task."""
+    """All rows in one task; codes are features x rows."""
     ahead = False
 
     def __init__(self, codes, y, start, bins):
-        self.codes, self.y, self.bins = codes, y, bins
+        self.codes, self.y, self.bins = np.ascontiguousarray(codes), y, bins
         self.raw = np.full(len(y), start)
 
     def begin(self):
-        self.g, self.h = derivatives(self.raw, self.y)
+        self.g, self.h = (d.astype(np.float64) for d in derivatives(self.raw, self.y))
         self.members = {0: np.arange(len(self.y))}
 
     def sums(self, tree, asked):
@@ -180,13 +186,13 @@ class LocalRows:
         out = []
         for node, f, b, side in asked:
             own = self.members[node]
-            own = own[(self.codes[own, f] <= b) == side]
-            out.append(binned(self.codes[own], self.g[own], self.h[own], self.bins))
+            own = own[(self.codes[f][own] <= b) == side]
+            out.append(binned([c[own] for c in self.codes], self.g[own], self.h[own], self.bins))
         return out
 
     def split(self, tree, node):
         own = self.members.pop(node)
-        below = self.codes[own, tree.feature[node]] <= tree.bin[node]
+        below = self.codes[tree.feature[node]][own] <= tree.bin[node]
         self.members[tree.left[node]], self.members[tree.right[node]] = own[below], own[~below]
 
     def end(self, nodes):
@@ -195,14 +201,18 @@ class LocalRows:
 
 
 class SparkRows:
-    """Rows in a table (y, codes, raw): a job for each request. Raw scores are written anew every
-    `REFRESH` trees; the trees since then are applied where they are needed."""
+    """Rows in a table of blocks (y, codes, raw): a job for each request. Raw scores are written anew
+    every `REFRESH` trees; the trees since then are applied where they are needed."""
     ahead = True
 
     def __init__(self, table, start, width, bins):
         self.spark, self.width, self.bins = table.sparkSession, width, bins
         self.recent, self.path, self.table = [], None, None
-        self._write(table.withColumn("raw", F.lit(float(start))))
+
+        def run(batches):
+            for y, codes in blocks(batches, width):
+                yield block(y, codes, np.full(len(y), float(start)))
+        self._write(table.mapInArrow(run, f"{BLOCKS}, raw binary"))
 
     def _write(self, rows):
         path = new_path(self.spark, "boosting")
@@ -219,9 +229,8 @@ class SparkRows:
 
         def run(batches):
             trees = [Nodes.unpacked(t) for t in shared.value]
-            for batch in batches:
-                raw = raised(batch, trees, width)[1]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw)], ["y", "codes", "raw"])
+            for y, codes, raw in blocks(batches, width):
+                yield block(y, codes, raised(codes, raw, trees))
         self.recent = []
         self._write(self.table.mapInArrow(run, self.table.schema))
 
@@ -229,29 +238,32 @@ class SparkRows:
         shared = self.spark.sparkContext.broadcast(
             ([t.packed() for t in self.recent], tree.nodes().packed(), asked))
         width, bins = self.width, self.bins
+        asks = len(asked or [0])
 
         def run(batches):
             recent, now, wanted = shared.value
             recent, now = [Nodes.unpacked(t) for t in recent], Nodes.unpacked(now)
-            out = np.zeros((len(wanted or [0]), 3, width, bins), np.int64)
-            for batch in batches:
-                codes, raw = raised(batch, recent, width)
-                g, h = derivatives(raw, batch.column(0).to_numpy())
-                node = now.at(0, codes)
+            out = np.zeros((asks, 3, width, bins), np.int64)
+            for y, codes, raw in blocks(batches, width):
+                g, h = (d.astype(np.float64) for d in derivatives(raised(codes, raw, recent), y))
+                node = now.at(0, codes.T)
                 for k, ask in enumerate(wanted or [None]):
                     if ask is None:
                         out[k] += binned(codes, g, h, bins)
                         continue
-                    own = np.flatnonzero((node == ask[0]) & ((codes[:, ask[1]] <= ask[2]) == ask[3]))
-                    out[k] += binned(codes[own], g[own], h[own], bins)
+                    own = np.flatnonzero((node == ask[0]) & ((codes[ask[1]] <= ask[2]) == ask[3]))
+                    out[k] += binned([c[own] for c in codes], g[own], h[own], bins)
             full = np.flatnonzero(out.any(axis=1))
             per = [out[:, k].ravel()[full] for k in range(3)] if len(full) else [np.empty(0, np.int64)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(full), *map(pa.array, per)], ["cell", "n", "g", "h"])
         parts = self.table.mapInArrow(run, "cell long, n long, g long, h long")
-        asks = len(asked or [0])
+        if asks * width * bins > CELLS_AT_ONCE:
+            parts = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ngh"])
         found = np.zeros((3, asks * width * bins), np.int64)
-        for r in parts.groupBy("cell").agg(F.sum("n"), F.sum("g"), F.sum("h")).toLocalIterator():
-            found[:, r[0]] = r[1:]
+        for batch in parts.toArrow().to_batches():
+            cell = batch.column(0).to_numpy()
+            for k in range(3):
+                np.add.at(found[k], cell, batch.column(k + 1).to_numpy())
         shared.unpersist()
         return list(found.reshape(3, asks, width, bins).swapaxes(0, 1))
 
@@ -265,13 +277,25 @@ class SparkRows:
         drop_path(self.spark, self.path)
 
 
-def raised(batch, trees, width):
-    """(codes, raw scores with the trees applied in order) of a batch (y, codes, raw)."""
-    codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, width)
-    raw = batch.column(2).to_numpy().copy()
+def block(y, codes, *raw):
+    """A record batch of one block: labels, codes (features x rows) and raw scores."""
+    arrays = [pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in (y, codes, *raw)]
+    return pa.RecordBatch.from_arrays(arrays, ["y", "codes", "raw"][:len(arrays)])
+
+
+def blocks(batches, width):
+    """What `block` has packed."""
+    for batch in batches:
+        for y, codes, *raw in zip(*(c.to_pylist() for c in batch.columns)):
+            yield np.frombuffer(y), np.frombuffer(codes, np.uint8).reshape(width, -1), *map(np.frombuffer, raw)
+
+
+def raised(codes, raw, trees):
+    """Raw scores with the trees applied in order."""
+    raw = raw.copy()
     for tree in trees:
-        raw += tree.value[tree.at(0, codes)]
-    return codes, raw
+        raw += tree.value[tree.at(0, codes.T)]
+    return raw
 
 
 def boosted(rows, rounds, rules):
@@ -306,9 +330,12 @@ class Boosting(Estimator):
         def code(batches):
             for batch in batches:
                 x = as_matrix(batch.column(1))
-                codes = np.stack([np.searchsorted(v, x[:, f]) for f, v in enumerate(last)], axis=1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in codes], pa.binary())], ["y", "codes"])
-        coded = rows.select(F.col("y").cast("double"), "x").mapInArrow(code, "y double, codes binary")
+                codes = np.stack([np.searchsorted(v, x[:, f]) for f, v in enumerate(last)]).astype(np.uint8)
+                yield block(batch.column(0).to_numpy(), codes)
+        spread = rows.select(F.col("y").cast("double"), "x")
+        if n * width > self.local_cells:  # all cores share the rounds
+            spread = spread.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+        coded = spread.mapInArrow(code, BLOCKS)
         if n * width <= self.local_cells:
             nodes = self._in_one_task(coded, start, width, bins)
         else:
@@ -327,7 +354,7 @@ class Boosting(Estimator):
         rounds, rules = self.rounds, self.rules
 
         def run(table):
-            codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(-1, width)
-            found = boosted(LocalRows(codes, table.column("y").to_numpy(), start, bins), rounds, rules)
+            y, codes = zip(*blocks([table], width))
+            found = boosted(LocalRows(np.concatenate(codes, axis=1), np.concatenate(y), start, bins), rounds, rules)
             return pa.table({"parts": [found.packed()]}, schema=pa.schema([("parts", pa.list_(pa.binary()))]))
         return Nodes.unpacked(coded.groupBy().applyInArrow(run, NODES).first().parts)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators import trees as growing
 from ebbtide.operators.features import LABEL, ROW_ID, SEED
-from ebbtide.operators.rank import order_statistics
+from ebbtide.operators.rank import average_ranks
 from ebbtide.operators.trees import LEAF, Growth, Nodes, bag_counts, between, child_keys, grown, tree_keys
 from ebbtide.session import materialize
 
@@ -56,22 +56,33 @@ def as_matrix(lists):
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
+def _counted(batches):
+    """How often each feature has each value, by batch."""
+    for batch in batches:
+        for f, own in enumerate(as_matrix(batch.column(2)).T):
+            values, n = np.unique(own, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), f, np.int32)), pa.array(values), pa.array(n)],
+                                             ["feature", "value", "n"])
+
+
 def value_ranges(rows, width, ranges):
     """For each feature (first, last) of consecutive ranges: every value of its own where there are
     at most `ranges`, else ranges that hold about equally many rows; `first` is then the border below."""
-    values = rows.select(F.posexplode("x").alias("f", "v"))
-    about = {r.f: r.n for r in values.groupBy("f").agg(F.approx_count_distinct("v").alias("n")).collect()}
-    few = [f for f in range(width) if about.get(f, 0) <= 2 * ranges]
+    counts = materialize(rows.mapInArrow(_counted, "feature int, value double, n long")
+                         .groupBy("feature", "value").agg(F.sum("n").alias("n")), "values")
+    sizes = {r.feature: r.n for r in counts.groupBy("feature").agg(F.count("*").alias("n")).collect()}
+    many = [f for f in range(width) if not 0 < sizes.get(f, 0) <= ranges]
     found = {f: [] for f in range(width)}
-    if few:  # some 2 * ranges values for each of them
-        for r in values.where(F.col("f").isin(few)).distinct().collect():
-            found[r.f].append(r.v)
-    many = [f for f in range(width) if not 0 < len(found[f]) <= ranges]
+    for r in counts.where(~F.col("feature").isin(many)).collect():  # at most `ranges` values of each
+        found[r.feature].append(r.value)
     if many:
-        wide = rows.select(*[F.col("x")[f].alias(f"x{f}") for f in many])
         n = rows.count()
-        at = order_statistics(wide, {c: {max(1, round(n * j / ranges)) for j in range(1, ranges + 1)} for c in wide.columns})
-        found.update({f: list(at[f"x{f}"].values()) for f in many})
+        wanted = F.lit(sorted({max(1, round(n * j / ranges)) for j in range(1, ranges + 1)}))
+        finite = F.col("feature").isin(many) & (F.abs("value") < float("inf"))
+        past = average_ranks(counts.where(finite))
+        hit = F.exists(wanted, lambda k: (F.col("below") < k) & (k <= F.col("below") + F.col("n")))
+        for r in past.where(hit).select("feature", "value").collect():
+            found[r.feature].append(r.value)
     last = [np.unique(np.array(found[f], float)) for f in range(width)]
     return [(np.concatenate([v[:1], v[:-1]]) if f in many else v, v) for f, v in enumerate(last)]
 

@@ -187,3 +187,23 @@ def test_saved_trees_score_the_same(spark, matrix):
         PipelineModel([fit]).write().overwrite().save(path)
         again = PipelineModel.load(path)
         assert (probabilities(fit, matrix) == probabilities(again, matrix)).all()
+
+
+def test_a_request_of_boosting_is_one_job(spark, matrix, monkeypatch):
+    context, seen, plain = spark.sparkContext, [], boosting.SparkRows.sums
+
+    def mark():
+        """Number of a small job of its own; jobs are numbered in order."""
+        context.setJobGroup("mark", "")
+        spark.range(1).collect()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return max(context.statusTracker().getJobIdsForGroup("mark"))
+
+    def counted(rows, tree, asked):
+        first = mark()
+        found = plain(rows, tree, asked)
+        seen.append(mark() - first - 1)
+        return found
+    monkeypatch.setattr(boosting.SparkRows, "sums", counted)
+    boosting.Boosting(2, boosting.Rules(), local_cells=1).fit(matrix)
+    assert set(seen) == {1}
