@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 from ebbtide.functions.columns import col, is_text, number
 from ebbtide.functions.names import find_column
-from ebbtide.operators.rank import ROWS_PER_BUCKET, ranged
 from ebbtide.session import create_file, drop_path, file_times, materialize, read_file, shared_folder
 
+ROWS_PER_RANGE = 50_000
 TEXT, MONEY, SCORE = T.StringType(), T.DecimalType(12, 2), T.DecimalType(8, 2)
 
 # fixed values: table columns, their types and the input names they are filled from
@@ -101,21 +101,24 @@ def first_rows(rows):
         F.min_by(F.struct(*COLUMNS), F.struct("seq", "tie")).alias("new"), F.min("seq").alias("first_seq"))
 
 
-def numbered(fresh, base, rows_per_range=ROWS_PER_BUCKET):
+def numbered(fresh, base, rows_per_range=ROWS_PER_RANGE):
     """(number of rows, fresh with id): base + 1, base + 2, ... in the order of first_seq and
-    customer_id, counted inside ranges and shifted by the sizes of the ranges before."""
+    customer_id, counted inside sorted ranges and shifted by the sizes of the ranges before. Rows are
+    wide, so a range is short and no task sorts more than that."""
     fresh = materialize(fresh, "fresh")
     n = fresh.count()
     order = ["first_seq", "customer_id"]
     if n <= rows_per_range:  # a single range needs neither cuts nor shifts
         place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
         return n, fresh.withColumn("id", F.lit(base) + place)
-    rows = ranged(fresh, order, n, rows_per_range)
+    ranges = fresh.repartitionByRange(-(-n // rows_per_range), *order).sortWithinPartitions(*order)
+    # The lower 33 bits count the rows of a partition; written once, so later passes agree on them.
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    rows = materialize(ranges.select("*", F.spark_partition_id().alias("bucket"), within.alias("within")), "ranges")
     shift = (rows.groupBy("bucket").agg(F.count("*").alias("m"))
              .select("bucket", (F.sum("m").over(Window.orderBy("bucket")) - F.col("m")).alias("shift")))
-    within = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
-    return n, (rows.withColumn("within", within).join(shift, "bucket")
-               .withColumn("id", F.lit(base) + F.col("shift") + F.col("within")).drop("bucket", "shift", "within"))
+    return n, (rows.join(shift, "bucket").withColumn("id", F.lit(base) + F.col("shift") + F.col("within"))
+               .drop("bucket", "shift", "within"))
 
 
 def updated(current, latest):

@@ -237,3 +237,13 @@ def test_generated_ids(spark, sf):
     d = stored(customer_360, spark, sf).select("tenure", "monthly_charges")
     got = scoring.with_customer_ids(d)
     assert got.select("generated_customer_id").distinct().count() == d.count()
+
+
+def test_new_customers_are_numbered_in_short_ranges(spark):
+    fresh = spark.range(0, 120_000, 1, 1).select(
+        (F.col("id") * 7919 % 60_000).alias("first_seq"), F.format_string("C%06d", 120_000 - F.col("id")).alias("customer_id"))
+    n, rows = store.numbered(fresh, 5)
+    assert n == 120_000 and len(rows.inputFiles()) >= 3  # no task sorts all of them
+    got = rows.orderBy("id").toPandas()
+    assert got["id"].tolist() == list(range(6, n + 6))
+    assert got.equals(got.sort_values(["first_seq", "customer_id"], ignore_index=True))
