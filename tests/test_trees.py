@@ -207,3 +207,16 @@ def test_a_request_of_boosting_is_one_job(spark, matrix, monkeypatch):
     monkeypatch.setattr(boosting.SparkRows, "sums", counted)
     boosting.Boosting(2, boosting.Rules(), local_cells=1).fit(matrix)
     assert set(seen) == {1}
+
+
+def test_only_drawn_features_are_tried(monkeypatch):
+    """One feature of 20 that all part every node: one candidate a row and level at most."""
+    rng = np.random.default_rng(2)
+    x, y, tried, plain = rng.normal(size=(400, 20)), rng.integers(0, 2, size=400), [], trees.Growth.purity
+
+    def purity(growth, left, node):
+        tried.append(np.size(left[0]))
+        return plain(growth, left, node)
+    monkeypatch.setattr(trees.Growth, "purity", purity)
+    found = trees.grown(x, 1 - y, y, trees.tree_keys(42, [0]), trees.Growth(1, (1.0, 1.0), max_depth=3))
+    assert len(found.feature) > 3 and sum(tried) <= 3 * 400
