@@ -189,6 +189,33 @@ def test_saved_trees_score_the_same(spark, matrix):
         assert (probabilities(fit, matrix) == probabilities(again, matrix)).all()
 
 
+@pytest.mark.parametrize("cells", [forest.CELLS, 1])
+def test_forests_beyond_the_nodes_held_whole_score_the_same(spark, data, matrix, monkeypatch, cells):
+    """Many lower trees a tree where cells are few, upper levels that end in leaves, copies of rows, a saved model."""
+    x, y = data
+    more = matrix.unionByName(spark.createDataFrame(  # a far group of one class: a leaf of the upper levels
+        [(M + k, 1, Vectors.dense([9.0 + k % 3, *x[k, 1:]])) for k in range(M)], matrix.schema)).repartition(3)
+    fit = forest.Forest(6, cells=cells)
+    whole = fit.fit(more)
+    twice = more.unionByName(more)
+    want = probabilities(whole, twice)
+    monkeypatch.setattr(forest, "MOST_NODES", 10)
+    parted = fit.fit(more)
+    assert parted.below.count() >= 6 and len(parted.nodes.feature) < len(whole.nodes.feature)
+    assert probabilities(parted, twice) == pytest.approx(want, abs=1e-12)
+    path = new_path(spark, "trees")
+    PipelineModel([parted]).write().save(path)
+    assert probabilities(PipelineModel.load(path), twice).tolist() == probabilities(parted, twice.repartition(5)).tolist()
+    assert parted.transform(more.where("false")).count() == 0
+
+
+def test_packed_rows_are_whole():
+    rng = np.random.default_rng(3)
+    for x in (np.column_stack([rng.normal(size=13), rng.integers(0, 2, 13), np.full(13, -0.5)]), rng.normal(size=(9, 2)), np.ones((17, 1))):
+        data = forest.packed_rows(x[2:], *forest.as_bits(x))
+        assert (forest.unpacked_rows(data, len(x) - 2, x.shape[1]) == x[2:]).all()
+
+
 def test_a_request_of_boosting_is_one_job(spark, matrix, monkeypatch):
     context, seen, plain = spark.sparkContext, [], boosting.SparkRows.sums
 
