@@ -33,6 +33,7 @@ from ebbtide.session import materialize
 
 CELLS = 1 << 21
 COUNTERS = 1 << 20
+VALUES_AT_ONCE = 50_000
 MOST_NODES, MOST_FEATURES = 8_000_000, 16_384
 OPEN, SMALL, DONE = 0, 1, 2
 #: Leaf values are added up as multiples of 2**-48 where the order of trees is open: sums are exact.
@@ -73,16 +74,18 @@ def value_ranges(rows, width, ranges):
     at most `ranges`, else ranges that hold about equally many rows; `first` is then the border below."""
     counts = materialize(rows.mapInArrow(_counted, "feature int, value double, n long")
                          .groupBy("feature", "value").agg(F.sum("n").alias("n")), "values")
-    sizes = {r.feature: r.n for r in counts.groupBy("feature").agg(F.count("*").alias("n")).collect()}
-    many = [f for f in range(width) if not 0 < sizes.get(f, 0) <= ranges]
+    finite = F.abs("value") < float("inf")
+    sizes = {r.feature: r for r in counts.groupBy("feature").agg(
+        F.count("*").alias("values"), F.count_if(finite).alias("finite"), F.sum("n").alias("n")).collect()}
+    many = [f for f in range(width) if f not in sizes or sizes[f]["values"] > ranges]
     found = {f: [] for f in range(width)}
     for r in counts.where(~F.col("feature").isin(many)).collect():  # at most `ranges` values of each
         found[r.feature].append(r.value)
     if many:
-        n = rows.count()
+        n = max((s["n"] for s in sizes.values()), default=0)  # each row has one value of each feature
         wanted = F.lit(sorted({max(1, round(n * j / ranges)) for j in range(1, ranges + 1)}))
-        finite = F.col("feature").isin(many) & (F.abs("value") < float("inf"))
-        past = average_ranks(counts.where(finite))
+        past = average_ranks(counts.where(F.col("feature").isin(many) & finite), VALUES_AT_ONCE,
+                             sum(sizes[f]["finite"] for f in many if f in sizes))
         hit = F.exists(wanted, lambda k: (F.col("below") < k) & (k <= F.col("below") + F.col("n")))
         for r in past.where(hit).select("feature", "value").collect():
             found[r.feature].append(r.value)

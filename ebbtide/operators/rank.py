@@ -159,13 +159,16 @@ def ranged(rows, order, count, rows_per_bucket, bucket="bucket"):
     return materialize(rows.repartitionByRange(parts, *order).withColumn(bucket, F.spark_partition_id()), "ranges")
 
 
-def average_ranks(counts, rows_per_bucket=ROWS_PER_BUCKET):
+def average_ranks(counts, rows_per_bucket=ROWS_PER_BUCKET, stored=None):
     """(feature, value, n), one row per value -> adds `below` (rows with smaller values), `total`
     and `average_rank`. Ranks are running sums inside ranges of values, shifted by the sizes of
     the ranges before; rows are already counted per value, so no range holds a hot value twice.
-    Further columns of the input are kept."""
-    counts = materialize(counts, "counts")
-    ranges = ranged(counts, ["feature", "value"], counts.count(), rows_per_bucket)
+    Further columns of the input are kept. `stored`: their number, if the counts are a stored table
+    already."""
+    if stored is None:
+        counts = materialize(counts, "counts")
+        stored = counts.count()
+    ranges = ranged(counts, ["feature", "value"], stored, rows_per_bucket)
     inside = (Window.partitionBy("feature", "bucket").orderBy("value")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = Window.partitionBy("feature").orderBy("bucket")

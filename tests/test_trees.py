@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from ebbtide.operators import boosting, forest, models, trees
+from ebbtide.operators import boosting, forest, models, rank, trees
 from ebbtide.operators.features import LABEL, ROW_ID
 from ebbtide.session import new_path
 
@@ -102,6 +102,20 @@ def test_ranges_part_where_values_are_many(spark):
         assert len(last) == 16 and held.min() >= 120 and (first[1:] == last[:-1]).all()
 
 
+def test_borders_are_ranked_in_ranges_of_bounded_size(spark, monkeypatch):
+    """120,000 values are not numbered in one task, and no pass over the rows is needed beyond counting."""
+    found, plain = [], rank.ranged
+    monkeypatch.setattr(rank, "ranged", lambda *args: found.append(plain(*args)) or found[-1])
+    rows = spark.range(120_000).select("id", F.lit(0).alias("y"), F.array(
+        F.col("id") * 0.5, (F.col("id") % 3).cast("double"),
+        F.when(F.col("id") < 3, float("inf")).otherwise(F.col("id") * 1.0)).alias("x"))
+    (_, halves), (_, three), (_, late) = forest.value_ranges(rows, 3, 16)
+    assert halves.tolist() == [(7500 * j - 1) * 0.5 for j in range(1, 17)] and three.tolist() == [0.0, 1.0, 2.0]
+    assert late.tolist() == [7500 * j + 2 for j in range(1, 16)]  # the last rank lies among the infinite values
+    sizes = [r["count"] for r in found[0].groupBy("bucket").count().collect()]
+    assert sum(sizes) == 120_000 + 119_997 and max(sizes) <= 80_000
+
+
 def plain_boosting(x, y, rounds, rules):
     p, raw = y.mean(), None
     raw = np.full(len(y), np.log(p / (1 - p)))

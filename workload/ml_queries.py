@@ -156,7 +156,7 @@ def _first_split(spark, sf, make):
     customers, churners and leaf value."""
     from pyspark.ml.functions import vector_to_array
     train, test, meta = features.prepare_training_data(training_customers(spark, sf), "customer_id")
-    prep, matrix, _ = training.prepared(train.unionByName(test), meta)
+    prep, matrix, _ = training.prepared(training.materialize(train.unionByName(test)), meta)
     names = features.feature_names(prep, meta)
     nodes = make(len(names)).fit(matrix).nodes
     f, cut = int(nodes.feature[0]), float(nodes.threshold[0])
