@@ -1,7 +1,8 @@
 """Scoring of arriving customers with a frozen scorer.
 
 Batch scorers only add columns once they are fitted, so the same object scores a stream; what
-a stream cannot do is fit, rank or look at all rows, and such scorers are refused.
+a stream cannot do is fit, rank or look at all rows, and such scorers are refused. So are forests too
+large to be held whole: they score each batch in `foreachBatch`.
 """
 
 from ebbtide.functions import fixed
