@@ -151,7 +151,8 @@ class Mix:
     def times(self):
         """Pieces of all documents and how often the mix takes each."""
         used = self.slots.groupBy("source_no", "block_no").agg(F.count("*").alias("times"))
-        return (pieces(self.placed).join(used, ["source_no", "block_no"], "left")
+        # Spark takes the slots for as small as the few sources they come from; never broadcast them.
+        return (pieces(self.placed).join(used.hint("merge"), ["source_no", "block_no"], "left")
                 .withColumn("times", F.coalesce("times", F.lit(0))))
 
 
@@ -174,7 +175,8 @@ def assembled(docs, **options):
     own = pieces(plan.placed).where("words > 0")
     first = F.greatest(F.col("block_no") * F.col("block") - F.col("start"), F.lit(0))
     part = F.greatest(F.col("start") - F.col("block_no") * F.col("block"), F.lit(0))
-    return (own.withColumn("first_word", first).withColumn("part", part).join(plan.slots, ["source_no", "block_no"])
+    return (own.withColumn("first_word", first).withColumn("part", part)
+            .join(plan.slots.hint("merge"), ["source_no", "block_no"])
             .select("shard", "place", "source_no", "slot", "part", "doc_id", "first_word", "words"))
 
 

@@ -1,8 +1,10 @@
 """Mixing: targets, bounds, permutations and the mixed texts."""
 
+import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ebbtide.llm import mix
 
@@ -103,3 +105,11 @@ def test_blocks_in_order(documents):
     for r in parts:
         taken[r.doc_id] += r.words
     assert dict(taken) == {r.doc_id: r.taken for r in mix.shares(documents).collect() if r.taken}
+
+
+def test_slots_are_not_broadcast(spark, documents):
+    """There is a row for each block of words, although they are made from one row a source."""
+    plan = mix.Mix(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text"), **mix.DEFAULTS)
+    for rows in (plan.times(), mix.assembled(documents), mix.mixed(documents)):
+        assert not re.search("BroadcastHashJoin [^\n]*block_no", rows._jdf.queryExecution().toString())
+        assert re.search("SortMergeJoin [^\n]*block_no", rows._jdf.queryExecution().toString())
