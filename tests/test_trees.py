@@ -102,6 +102,28 @@ def test_ranges_part_where_values_are_many(spark):
         assert len(last) == 16 and held.min() >= 120 and (first[1:] == last[:-1]).all()
 
 
+@pytest.mark.parametrize("bootstrap,features,weak", [(True, None, False), (True, 1, True), (False, 5, True)])
+def test_more_values_than_ranges_give_the_same_trees_in_both_phases(spark, monkeypatch, bootstrap, features, weak):
+    """Every threshold of every feature drawn is tried, however large the table: values between borders, values
+    that many rows hold, a feature that varies in few rows, a node inside one range."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=M), np.round(rng.exponential(size=M), 2) * (rng.random(M) < 0.5), rng.normal(size=M),
+                         np.where(np.arange(M) < 2, np.arange(M) + 1.0, 0.0), rng.integers(0, 2, size=M)])
+    y = (rng.random(M) < (0.4 if weak else 1 / (1 + np.exp(-4 * x[:, 0] - x[:, 1])))).astype(int)
+    matrix = spark.createDataFrame([(k, int(b), Vectors.dense(a)) for k, (a, b) in enumerate(zip(x, y))], [ROW_ID, LABEL, "features"])
+    weights = tuple(M / (2 * (y == c).sum()) for c in (0, 1))
+    growth, want = trees.Growth(features or 2, weights, min_leaf=2, max_depth=4), np.zeros(M)
+    for key in trees.tree_keys(42, range(6)):
+        times = trees.bag_counts(key, np.arange(M)) if bootstrap else np.ones(M, int)
+        own = times > 0
+        tree = plain_tree(x[own], (times * (1 - y))[own], (times * y)[own], np.array([key]), growth)
+        want += [tree(row) for row in x]
+    monkeypatch.setattr(forest, "GROUP_ROWS", 300, raising=False)
+    for cells, ranges, parts in ((forest.CELLS, 64, 3), (1, 4, 5), (1, 32, 2)):
+        fit = forest.Forest(6, 4, 2, bootstrap=bootstrap, ranges=ranges, cells=cells, features=features)
+        assert probabilities(fit.fit(matrix.repartition(parts)), matrix) == pytest.approx(want / 6, abs=1e-12)
+
+
 def test_borders_are_ranked_in_ranges_of_bounded_size(spark, monkeypatch):
     """120,000 values are not numbered in one task, and no pass over the rows is needed beyond counting."""
     found, plain = [], rank.ranged
@@ -230,6 +252,13 @@ def test_packed_rows_are_whole():
         assert (forest.unpacked_rows(data, len(x) - 2, x.shape[1]) == x[2:]).all()
 
 
+def test_records_are_whole():
+    rng = np.random.default_rng(4)
+    for x in (np.column_stack([rng.normal(size=13), rng.integers(0, 2, (13, 9)), np.full(13, -0.5)]), rng.normal(size=(9, 2)), np.ones((17, 1))):
+        records, facts = forest.as_records(x)
+        assert (forest.from_records(records[3:].ravel(), facts, x.shape[1]).T == x[3:]).all()
+
+
 def test_a_request_of_boosting_is_one_job(spark, matrix, monkeypatch):
     context, seen, plain = spark.sparkContext, [], boosting.SparkRows.sums
 
