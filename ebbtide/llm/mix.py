@@ -209,7 +209,9 @@ def mixed(docs, **options):
             out = [cut(text, words, times, copy) for text, words, times, copy in
                    zip(texts(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()).cast(pa.string())], ["doc", "text"])
-    copies = (numbered.join(found, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # A row for each document that is taken: not broadcast either.
+    copies = (numbered.join(found.hint("merge"), "row")
+              .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
               .select("doc", F.col("doc.text").alias("text"), "words", "times", "copy"))
     made = copies.mapInArrow(run, copies.select("doc", "text").schema)
     renewed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

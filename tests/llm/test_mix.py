@@ -113,3 +113,11 @@ def test_slots_are_not_broadcast(spark, documents):
     for rows in (plan.times(), mix.assembled(documents), mix.mixed(documents)):
         assert not re.search("BroadcastHashJoin [^\n]*block_no", rows._jdf.queryExecution().toString())
         assert re.search("SortMergeJoin [^\n]*block_no", rows._jdf.queryExecution().toString())
+
+
+def test_parts_of_documents_are_not_broadcast(documents):
+    """There is a row for each document taken, and Spark would turn to a broadcast while it runs."""
+    rows = mix.mixed(documents)
+    assert rows.collect()
+    joins = re.findall(r"(\w+Join) \[row#", rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+    assert set(joins) == {"SortMergeJoin"}
